@@ -5,8 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minmax
+from . import bpe, langid, minmax, toxicity
+
+
+def tokenizer_file() -> str:
+    """The public word-level BPE file, found by the package that ships it on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _fold(folds: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.coalesce(_fold(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(_fold(4) != 2))
+    return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=("doc_id", "held_out"))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.coalesce(_fold(5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.where(_fold(5) != 0))
+    return toxicity.score(docs.select("doc_id", "text", held.alias("held_out")), model, keep=("doc_id", "held_out"))
 
 
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +46,12 @@ def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minmax_near_dedup": op8_minmax_near_dedup}
+    return {
+        "op2_language_id": op2_language_id,
+        "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_toxicity": op4_toxicity,
+        "op8_minmax_near_dedup": op8_minmax_near_dedup,
+    }
 
 
 #: A-Z to a-z alone: lower() would also map letters outside ASCII.
