@@ -1,7 +1,9 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, filters of several widths, max pooling.
 
-Trained in numpy with Adam. A filter of width w over embeddings is a sum of w table rows, one for each place (the
-embedding table times that slice of the filter), so that scoring is table look-ups, additions and a maximum.
+A word's embedding is the sum of its hashed buckets: one for the word and one for each of its marked character n-grams,
+so that forms never seen in training share what is known of their stems. Trained in numpy with Adam. A filter of width
+w over embeddings is a sum of w vectors, one for each place, that depend on the word there alone; scoring computes them
+once for each word and is then look-ups, additions and a maximum.
 """
 
 from __future__ import annotations
@@ -20,92 +22,135 @@ from . import langid
 from ._runtime import bound_batches
 
 _WORD = re.compile(r"\w+")
-_WORDS_KEPT = 300_000
+#: Words whose vectors a worker keeps (some 400 bytes each), and rows of text that are scored between two look-ups.
+_WORDS_KEPT = 100_000
 #: Words of one pass; longer texts take several that overlap, whose maxima are those of the whole text.
 _PASS = 16_384
+#: Lengths of the n-grams; of longer words than this only so many first and last letters make n-grams.
+_GRAMS, _LONG = (4, 5), 12
 
 
-class _Buckets(dict):
-    """Bucket of each lower-cased word seen lately."""
+def word_buckets(word: str, buckets: int) -> list[int]:
+    """The word's buckets; 0 is kept for no word."""
+    marked = f"<{word}>" if len(word) <= 2 * _LONG else f"<{word[:_LONG]}"
+    parts = [f"={word}", *(marked[i : i + n] for n in _GRAMS for i in range(len(marked) - n + 1))]
+    if len(word) > 2 * _LONG:
+        tail = f"{word[-_LONG:]}>"
+        parts += [tail[i : i + n] for n in _GRAMS for i in range(len(tail) - n + 1)]
+    return [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (buckets - 1) for x in parts]
 
-    def __init__(self, n: int):
-        super().__init__()
-        self.n = n
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        b = self[word] = 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (self.n - 1)
-        return b
+def _summed(table: np.ndarray, words: list[str], buckets: int) -> np.ndarray:
+    """Sum of the table's rows over each word's buckets."""
+    out = np.zeros((len(words), table.shape[1]), table.dtype)
+    for lo in range(0, len(words), 1024):
+        lists = [word_buckets(w, buckets) for w in words[lo : lo + 1024]]
+        starts = np.cumsum([0, *(len(x) for x in lists[:-1])])
+        out[lo : lo + 1024] = np.add.reduceat(table[np.concatenate(lists)], starts)
+    return out
 
 
 @dataclass
 class ToxicityModel:
-    """tables[i][k]: what a word in place k adds to the filters of widths[i]; calibration: language -> (scale, shift)."""
+    """table: for each bucket what it adds to all filters, for width 1, then width 2's first and second place, and so
+    on; calibration: language -> the raw score where texts count as toxic ("": any other language)."""
 
     buckets: int
     widths: tuple[int, ...]
-    tables: list[list[np.ndarray]]
-    bias: list[np.ndarray]
+    table: np.ndarray
+    bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    calibration: dict[str, tuple[float, float]]
+    calibration: dict[str, float]
     language: langid.LanguageModel
 
-    def logit(self, words: np.ndarray) -> float:
-        """Raw score of a whole text, as its words' buckets."""
-        most = [np.full(len(b), -np.inf, np.float32) for b in self.bias]
-        pad = max(self.widths) - 1
-        words = np.concatenate([words, np.zeros(max(1, pad), words.dtype)])  # bucket 0 is no word
+
+class Scorer:
+    """Raw scores of whole texts; remembers the vectors of words seen lately."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self._rows: dict[str, int] = {}
+        self._vectors = np.zeros((1, model.table.shape[1]), np.float32)  # row 0: no word
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self._rows) > _WORDS_KEPT:
+            self._rows, self._vectors = {}, self._vectors[:1]
+        new = sorted(words.difference(self._rows))
+        self._rows.update((w, i) for i, w in enumerate(new, start=len(self._vectors)))
+        self._vectors = np.concatenate([self._vectors, _summed(self.model.table, new, self.model.buckets)])
+
+    def logits(self, texts: list[str | None]) -> list[float]:
+        split = [_WORD.findall((t or "").lower()) for t in texts]
+        out = []
+        for lo in range(0, len(split), 128):
+            part = split[lo : lo + 128]
+            needed = {w for ws in part for w in ws}
+            if not needed <= self._rows.keys():
+                self._learn(needed)
+            out += [self._logit(np.fromiter(map(self._rows.__getitem__, ws), np.int32, len(ws))) for ws in part]
+        return out
+
+    def _logit(self, words: np.ndarray) -> float:
+        m = self.model
+        filters = len(m.bias) // len(m.widths)
+        most = np.full(len(m.bias), -np.inf, np.float32)
+        pad = max(m.widths) - 1
+        words = np.concatenate([words, np.zeros(max(1, pad), np.int32)])
         for lo in range(0, len(words) - pad, _PASS):
-            part = words[lo : lo + _PASS + pad]
-            for i, w in enumerate(self.widths):
-                n = len(part) - w + 1
-                act = self.tables[i][0][part[:n]]
+            x = self._vectors[words[lo : lo + _PASS + pad]]
+            place = 0
+            for i, w in enumerate(m.widths):
+                n = len(x) - w + 1
+                act = x[:n, place : place + filters]
                 for k in range(1, w):
-                    act += self.tables[i][k][part[k : k + n]]
-                np.maximum(most[i], act.max(0), out=most[i])
-        pooled = np.concatenate([np.maximum(m + b, 0) for m, b in zip(most, self.bias, strict=True)])
-        return float(pooled @ self.out + self.out_bias)
+                    act = act + x[k : k + n, place + k * filters : place + (k + 1) * filters]
+                own = most[i * filters : (i + 1) * filters]
+                np.maximum(own, act.max(0), out=own)
+                place += w * filters
+        return float(np.maximum(most + m.bias, 0) @ m.out + m.out_bias)
 
 
-def _train(texts: list[np.ndarray], labels: np.ndarray, buckets: int, dim: int, filters: int, widths: tuple[int, ...], epochs: int, seed: int) -> tuple:
+def _train(texts: list[list[str]], labels: np.ndarray, buckets: int, dim: int, filters: int, widths: tuple[int, ...], epochs: int, seed: int) -> tuple:
     """Adam over mini-batches of 16 texts; only the places that win the pooling get a gradient."""
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
+    emb = rng.normal(0, 0.05, (buckets, dim)).astype(np.float32)
     emb[0] = 0
     kernel = [rng.normal(0, (w * dim) ** -0.5, (w, dim, filters)).astype(np.float32) for w in widths]
     bias = [np.zeros(filters, np.float32) for _ in widths]
     out, out_bias = rng.normal(0, 0.1, filters * len(widths)).astype(np.float32), np.zeros(1, np.float32)
-    params = [emb, out, out_bias, *kernel, *bias]
+    params = [out, out_bias, *kernel, *bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    pad = max(widths) - 1
-    padded = [np.concatenate([t, np.zeros(max(1, pad), t.dtype)]) for t in texts]
+    first_emb, second_emb = np.zeros_like(emb), np.zeros_like(emb)
+    pad = max(1, max(widths) - 1)
+    of_word: dict[str, np.ndarray] = {}
+    ready = []
+    for words in texts:
+        names, at = np.unique(np.array([*words, ""]), return_inverse=True)  # "" sorts first: no word
+        lists = [np.zeros(1, np.int32), *(of_word.setdefault(w, np.array(word_buckets(w, buckets), np.int32)) for w in names[1:].tolist())]
+        ready.append((np.concatenate(lists), np.cumsum([0, *(len(x) for x in lists)]), np.concatenate([at[:-1], np.zeros(pad, at.dtype)])))
     share = float(labels.mean())
-    weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) ** 0.5
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), 16):
-            grads = [np.zeros_like(p) for p in params[1:]]
+            grads = [np.zeros_like(p) for p in params]
             rows, row_grads = [], []
             batch = order[lo : lo + 16]
             for j in batch:
-                t = padded[j]
-                x = emb[t]
-                pooled, at = [], []
+                flat, ends, t = ready[j]
+                x = np.add.reduceat(emb[flat], ends[:-1])[t]
+                raw, at = np.empty(filters * len(widths), np.float32), []
                 for i, w in enumerate(widths):
                     n = len(t) - w + 1
                     act = x[:n] @ kernel[i][0]
                     for k in range(1, w):
                         act += x[k : k + n] @ kernel[i][k]
-                    a = act.argmax(0)
-                    at.append(a)
-                    pooled.append(act[a, np.arange(filters)] + bias[i])
-                raw = np.concatenate(pooled)
-                hidden = np.maximum(raw, 0)
-                mask = (rng.random(len(hidden)) < 0.8).astype(np.float32) / 0.8
-                hidden *= mask
+                    at.append(act.argmax(0))
+                    raw[i * filters : (i + 1) * filters] = act[at[i], np.arange(filters)] + bias[i]
+                mask = (rng.random(len(raw)) < 0.8).astype(np.float32) / 0.8
+                hidden = np.maximum(raw, 0) * mask
                 p = 1 / (1 + np.exp(-float(hidden @ out + out_bias[0])))
                 d = np.float32((p - labels[j]) * weight[j] / len(batch))
                 grads[0] += d * hidden
@@ -114,25 +159,29 @@ def _train(texts: list[np.ndarray], labels: np.ndarray, buckets: int, dim: int,
                 for i, w in enumerate(widths):
                     g = back[i * filters : (i + 1) * filters]
                     grads[2 + len(widths) + i] += g
+                    live = np.flatnonzero(g)
                     for k in range(w):
-                        words = t[at[i] + k]
-                        grads[2 + i][k] += (emb[words] * g[:, None]).T
-                        rows.append(words)
-                        row_grads.append(kernel[i][k].T * g[:, None])
+                        place = at[i][live] + k
+                        grads[2 + i][k][:, live] += x[place].T * g[live]
+                        word = t[place]
+                        n = ends[word + 1] - ends[word]
+                        rows.append(flat[np.repeat(ends[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                        row_grads.append(np.repeat(kernel[i][k][:, live].T * g[live, None], n, axis=0))
             step += 1
-            rate = 0.004 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for i, g in enumerate(grads, start=1):
+            rate = 0.004 * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for i, g in enumerate(grads):
                 first[i] += 0.1 * (g - first[i])
                 second[i] += 0.001 * (g * g - second[i])
                 params[i] -= rate * first[i] / (np.sqrt(second[i]) + 1e-7)
-            at_rows, place = np.unique(np.concatenate(rows), return_inverse=True)
-            g = np.zeros((len(at_rows), dim), np.float32)
-            np.add.at(g, place, np.concatenate(row_grads))
-            first[0][at_rows] += 0.1 * (g - first[0][at_rows])
-            second[0][at_rows] += 0.001 * (g * g - second[0][at_rows])
-            emb[at_rows] -= rate * first[0][at_rows] / (np.sqrt(second[0][at_rows]) + 1e-7)
-            emb[0] = 0
-    return emb, kernel, bias, out, float(out_bias[0])
+            ids = np.concatenate(rows)
+            touched, place = np.unique(ids, return_inverse=True)
+            g = np.stack([np.bincount(place, c, len(touched)) for c in np.concatenate(row_grads).T], 1).astype(np.float32)
+            g[touched == 0] = 0
+            first_emb[touched] += 0.1 * (g - first_emb[touched])
+            second_emb[touched] += 0.001 * (g * g - second_emb[touched])
+            emb[touched] -= rate * first_emb[touched] / (np.sqrt(second_emb[touched]) + 1e-7)
+    table = np.concatenate([emb @ k for ks in kernel for k in ks], 1)
+    return table, np.concatenate(bias), out, float(out_bias[0])
 
 
 def _calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -148,7 +197,7 @@ def _calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(cuts[best[gaps[best].argmax()]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 6000, min_lang_docs: int = 200, buckets: int = 1 << 15, dim: int = 16, filters: int = 16, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, seed: int = 5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 6000, min_lang_docs: int = 200, buckets: int = 1 << 16, dim: int = 16, filters: int = 16, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, seed: int = 5) -> ToxicityModel:
     """Train on a bounded, hash-chosen sample of max_docs labelled rows (at most half of them of either label where the
     other has enough), with their whole texts; a fifth of it is held out for the thresholds.
 
@@ -168,28 +217,25 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     joined = text.join(F.broadcast(picked), "__id")  # at most max_docs rows of 12 bytes
     rows = joined.select("__id", "text", "lang", "y").toPandas().sort_values(["__id", "text"], kind="stable").reset_index(drop=True)
     tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000)
-    bucket = _Buckets(buckets)
-    words = [np.fromiter(map(bucket.__getitem__, _WORD.findall(t.lower())), np.int32) for t in rows["text"]]
+    words = [_WORD.findall(t.lower()) for t in rows["text"]]
     y = rows["y"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
-        flat = [[np.zeros((buckets, 1), np.float32)] for _ in range(1)]
-        return ToxicityModel(buckets, (1,), flat, [np.zeros(1, np.float32)], np.zeros(1, np.float32), 0.0, {"": (1.0, 1.0 if not y.sum() else -1.0)}, tongue)
+        return ToxicityModel(buckets, (1,), np.zeros((buckets, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), 1.0 if y.sum() else -1.0, {"": 0.0}, tongue)
     held = np.array([zlib.crc32(b"%d" % i) % 5 == 0 for i in range(len(rows))])
-    if len(set(y[held].tolist())) < 2:
+    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
     learn = np.flatnonzero(~held)
-    emb, kernel, bias, out, out_bias = _train([words[i] for i in learn], y[learn], buckets, dim, filters, widths, epochs if len(learn) >= 2000 else 3 * epochs, seed)
-    tables = [[emb @ k[i] for i in range(len(k))] for k in kernel]
-    model = ToxicityModel(buckets, widths, tables, bias, out, out_bias, {"": (1.0, 0.0)}, tongue)
+    table, bias, out, out_bias = _train([words[i] for i in learn], y[learn], buckets, dim, filters, widths, epochs if len(learn) >= 2000 else 3 * epochs, seed)
+    model = ToxicityModel(buckets, widths, table, bias, out, out_bias, {}, tongue)
     judged = np.flatnonzero(held) if held.any() else learn
-    logits = np.array([model.logit(words[i]) for i in judged])
+    logits = np.array(Scorer(model).logits([rows["text"][i] for i in judged]))
     scorer = langid.Scorer(tongue)
     spoken = np.array([scorer.predict(rows["text"][i])[0] for i in judged])
-    model.calibration[""] = (1.0, _calibrate(logits, y[judged]))
+    model.calibration[""] = _calibrate(logits, y[judged])
     for name in sorted(set(spoken.tolist())):
         own = spoken == name
         if own.sum() * (5 if held.any() else 1) >= min_lang_docs and len(set(y[judged][own].tolist())) == 2:
-            model.calibration[name] = (1.0, _calibrate(logits[own], y[judged][own]))
+            model.calibration[name] = _calibrate(logits[own], y[judged][own])
     return model
 
 
@@ -205,14 +251,12 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        bucket, scorer = _Buckets(m.buckets), langid.Scorer(m.language)
+        tongue, scorer = langid.Scorer(m.language), Scorer(m)
         for batch in batches:
-            scores = []
-            for text in batch.column("__text").to_pylist():
-                words = _WORD.findall((text or "").lower())
-                scale, shift = m.calibration.get(scorer.predict(text)[0] if len(m.calibration) > 1 else "", m.calibration[""])
-                x = scale * (m.logit(np.fromiter(map(bucket.__getitem__, words), np.int32, len(words))) - shift)
-                scores.append(1 / (1 + np.exp(-max(-500.0, min(500.0, x)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"])
+            texts = batch.column("__text").to_pylist()
+            shifts = [m.calibration.get(tongue.predict(t)[0], m.calibration[""]) if len(m.calibration) > 1 else m.calibration[""] for t in texts]
+            raw = np.clip(np.array(scorer.logits(texts)) - np.array(shifts), -500, 500)
+            found = 1 / (1 + np.exp(-raw))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     return src.mapInArrow(run, schema)
