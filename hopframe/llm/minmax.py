@@ -172,7 +172,7 @@ def _in_blocks(df: DataFrame, key: str, node: str, n_blocks) -> DataFrame:
     groups = F.when(F.col("n_blocks") == 1, F.array(F.array(F.lit(0), F.lit(0)).cast("array<long>"))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda j: j != F.col("own")), lambda j: F.array(F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
     )
-    return df.withColumn("n_blocks", n_blocks.cast("long")).withColumn("own", own).withColumn("pair", F.explode(groups)).drop("own", "n_blocks")
+    return df.withColumn("n_blocks", n_blocks.cast("long")).withColumn("own", own).withColumn("pair", F.explode(groups)).drop("n_blocks")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
