@@ -25,6 +25,8 @@ from ._runtime import bound_batches
 #: Encoded words of one generation (a worker keeps two: hot words move to the new one), and token pairs.
 _CHUNKS_KEPT, _PAIRS_KEPT = 200_000, 500_000
 _PLAIN = re.compile(r"([a-z]+)([.,]?)")
+#: What str.split() takes for white space and the files' pattern does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class TrieBpe:
@@ -44,11 +46,13 @@ class TrieBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.rank = {(a, b): i for i, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"])}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.ended = {s[: -len(self.end)]: s for s in self.vocab if s.endswith(self.end) and s != self.end}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.longest = max(len(s) for s in self.vocab)
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._chunks: dict[str | int, tuple[bytes, str]] = {}
-        self._older = self._chunks
+        self._ids: dict[str | int, bytes] = {}
+        self._strings: dict[str | int, str] = {}
+        self._older = self._ids, self._strings
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE over a short list of symbols."""
@@ -75,57 +79,46 @@ class TrieBpe:
             known = self._pairs[left, right] = self.merge(self._symbols(left) + self._symbols(right)) == [left, right]
         return known
 
-    def _last(self, path: list[str], states: list[str], ended: bool) -> str:
-        """Last token of the encoding of the path's symbols; states[k] is the last token of its first k symbols."""
-        n = len(path)
-        low = max(0, n - self.longest)
-        tail = "".join(path[low:])
-        if ended:
-            tail += self.end
-        vocab, pairs = self.vocab, self._pairs
-        for k in range(low, n):
-            token = tail[k - low :]
-            if token in vocab:
-                if not k:
-                    return token
-                follows = pairs.get((states[k], token))
-                if follows or follows is None and self._follows(states[k], token):
-                    return token
-        raise ValueError("no token ends the word")
-
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word (of byte-level characters)."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
+        """Tokens of each distinct word (of byte-level characters).
+
+        The sorted words are the trie, in depth-first order: a word's nodes are its prefixes, and those that it shares
+        with the word before are still on the path, with their states. states[k] is the last token of the encoding of the
+        first k symbols; the word's end is a symbol of its own.
+        """
+        vocab, ended, pairs, follows, longest = self.vocab, self.ended, self._pairs, self._follows, self.longest
         out: dict[str, list[str]] = {}
-        path: list[str] = []
         states: list[str] = [""]
-        stack: list[tuple[int, str, dict]] = [(0, "", trie)]
-        while stack:
-            depth, c, node = stack.pop()
-            del path[max(0, depth - 1) :], states[max(1, depth) :]
-            if depth:
-                path.append(c)
-                states.append(self._last(path, states, False))
-            for letter, child in node.items():
-                if letter:
-                    stack.append((depth + 1, letter, child))
-                else:
-                    out[child] = self._unwind(path, states)
+        before = ""
+        for word in sorted(words):
+            n, shared = len(word), 0
+            most = min(n, len(states)) - 1
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1 :]
+            for depth in range(shared + 1, n):
+                for k in range(depth - longest if depth > longest else 0, depth):
+                    token = word[k:depth]
+                    if token in vocab:
+                        if not k:
+                            break
+                        apart = pairs.get((states[k], token))
+                        if apart or apart is None and follows(states[k], token):
+                            break
+                states.append(token)
+            for k in range(n - longest if n > longest else 0, n):
+                token = ended.get(word[k:])
+                if token is not None and (not k or pairs.get((states[k], token)) or follows(states[k], token)):
+                    break
+            tokens = [token]
+            while k:
+                tokens.append(states[k])
+                k -= len(states[k])
+            tokens.reverse()
+            out[word] = tokens
+            before = word
         return out
 
-    def _unwind(self, path: list[str], states: list[str]) -> list[str]:
-        token = self._last(path, states, True)
-        tokens, k = [token], len(path) - len(token) + len(self.end)
-        while k:
-            tokens.append(states[k])
-            k -= len(states[k])
-        return tokens[::-1]
-
     def _pieces(self, text: str) -> list[str | int]:
         """Runs between blanks of the normalised text, and the ids of special tokens where they stand."""
         out, at = [], 0
@@ -134,6 +127,8 @@ class TrieBpe:
                 out += self._normalize(text[at : found[0]]).split(" ")
                 out.append(self.special[found[1]])
                 at = found[0] + len(found[1])
+        if text.isascii() and not at and not _SEPARATORS.search(text):
+            return text.lower().split()
         return out + self._normalize(text[at:]).split(" ")
 
     def _words(self, chunk: str | int) -> list[str]:
@@ -146,24 +141,21 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        pieces = [self._pieces(t) for t in texts]
-        if len(self._chunks) >= _CHUNKS_KEPT:
-            self._older, self._chunks = self._chunks, {}
-        chunks, older = self._chunks, self._older
-        new = {c for p in pieces for c in p if c not in chunks}
-        chunks.update((c, older[c]) for c in new if c in older)
-        split = {c: self._words(c) for c in new if c not in chunks}
+        pieces = [[c for c in p if c != ""] if "" in p else p for p in map(self._pieces, texts)]
+        if len(self._ids) >= _CHUNKS_KEPT:
+            self._older, self._ids, self._strings = (self._ids, self._strings), {}, {}
+        known, strings = self._ids, self._strings
+        new = set().union(*pieces).difference(known)
+        for c in new.intersection(self._older[0]):
+            known[c], strings[c] = self._older[0][c], self._older[1][c]
+        split = {c: self._words(c) for c in new if c not in known}
         encoded = self.encode_words({w for ws in split.values() for w in ws})
         vocab = self.vocab
         for c, ws in split.items():
             tokens = [t for w in ws for t in encoded[w]] if isinstance(c, str) else [self.names[c]]
-            ids = [vocab[t] for t in tokens] if isinstance(c, str) else [c]
-            chunks[c] = array("I", ids).tobytes(), " ".join(tokens)
-        out = []
-        for p in pieces:
-            got = [chunks[c] for c in p]
-            out.append((b"".join([x for x, _ in got]), " ".join([y for _, y in got if y])))
-        return out
+            known[c] = array("I", [vocab[t] for t in tokens] if isinstance(c, str) else [c]).tobytes()
+            strings[c] = " ".join(tokens)
+        return [(b"".join(map(known.__getitem__, p)), " ".join(map(strings.__getitem__, p))) for p in pieces]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with a blank between two; unknown ids are left out."""
