@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, minmax, toxicity
+from . import ann, bpe, embdedup, langid, minmax, mixing, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -49,11 +49,22 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    taken = (F.size("mix_draws") * F.col("mix_size")).cast("long").alias("taken")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return minmax.near_duplicates(docs, width=4, percent=80)
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
@@ -61,7 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_permutation_search": op5_permutation_search,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
+        "op7_splitting_tree_mix": op7_splitting_tree_mix,
         "op8_minmax_near_dedup": op8_minmax_near_dedup,
+        "op9_warc_round_trip": op9_warc_round_trip,
     }
 
 
@@ -102,6 +115,15 @@ SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id =
 FROM c LEFT JOIN n USING (vec_id)
 """
 
+_SQL9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+t AS (SELECT h, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN p.page_id <> t.top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id <> t.top THEN t.top END AS refers_to
+FROM p LEFT JOIN t ON p.h = t.h AND p.n >= 1000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_near_dedup": _SQL6, "op8_minmax_near_dedup": _SQL8}
+    return {"op6_embedding_near_dedup": _SQL6, "op8_minmax_near_dedup": _SQL8, "op9_warc_round_trip": _SQL9}
