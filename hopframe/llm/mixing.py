@@ -58,6 +58,21 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
+def fill(keyed: list[tuple[int, int]], rest: float) -> list[int]:
+    """Keys whose sizes sum to about rest: in key order each that still fits, then one more if that ends nearer."""
+    taken, left = [], rest
+    over: tuple[int, int] | None = None
+    for key, size in sorted(keyed):
+        if size <= left:
+            taken.append(key)
+            left -= size
+        elif over is None or size < over[0]:
+            over = size, key
+    if over and over[0] - left < left:
+        taken.append(over[1])
+    return taken
+
+
 def _size(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
 
@@ -68,9 +83,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
 
     Sources in code-point order, null last, weigh weights, repeated in turn; they share total_share of all words, none
     over most times its own. A source's rows are all taken as often as its target holds its size, and once more as far
-    as the rest goes: whole blocks, then the rows of the block where the rest ends, in hash order, up to the row that
-    would overshoot by more than it falls short. The block's order, and with it the result, depends on ids, sizes and
-    seed alone. Of rows with equal ids and sizes it does not matter which is taken.
+    as the rest goes: whole blocks, then those rows of the block where the rest ends that fill it best in hash order. The
+    result depends on ids, sizes and seed alone. Rows of a source that repeat an id are taken together.
 
     Null texts have no words; a source without words is taken once for each whole number that most holds and has target
     0. Null ids hash as one id. An empty table gives no row. Columns of docs called mix_... raise ValueError.
@@ -114,16 +128,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
         draws.append(order)
         passes.append(whole)
 
-    # the rows of the cut blocks, at most per_block or so of each source, in hash order
-    cut = spark.createDataFrame([(i, b, x) for i, b, x in cuts], "__source int, __block long, __rest double")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("__source").orderBy("__key", "mix_size", F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
-    edge = tagged.join(F.broadcast(cut), ["__source", "__block"]).select("__source", "__block", "__key", "mix_size", id_col, "__rest")
-    edge = edge.withColumn("__sum", F.sum("mix_size").over(w)).where(F.col("__sum") - F.col("__rest") <= F.col("__rest") - (F.col("__sum") - F.col("mix_size")))
-    # where the last row taken stands in that order
-    last = edge.groupBy("__source").agg(F.max(F.struct("__key", "mix_size")).alias("m")).collect()
-    ends = {r["__source"]: (r["m"]["__key"], r["m"]["mix_size"]) for r in last}
+    # Of each source one block is cut: its documents (per_block or so) are chosen here, by key.
+    cut = spark.createDataFrame([(i, b) for i, b, _ in cuts], "__source int, __block long")
+    edge = tagged.join(F.broadcast(cut), ["__source", "__block"]).groupBy("__source", "__key").agg(F.sum("mix_size").alias("n"))
+    held: dict[int, list[tuple[int, int]]] = {}
+    for r in edge.collect() if cuts else []:
+        held.setdefault(r["__source"], []).append((r["__key"], r["n"]))
+    chosen = {i: fill(held.get(i, []), rest) for i, _, rest in cuts}
 
     shard_of = split_quotas(np.array([len(d) for d in draws], np.int64), n_shards, rng) if names else np.zeros((n_shards, 0), np.int64)
     plan = []
@@ -134,17 +145,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
         for at, (b, shard) in enumerate(zip(order, shards, strict=True)):
             if partial.get(b) != at:
                 by_block.setdefault(b, []).append(shard)
-        for b in set(order):
-            end = ends.get(i) if b in partial else None
-            plan.append((i, b, by_block.get(b, []), shards[partial[b]] if b in partial else None, *(end or (None, None)), sizes[i], goal[i]))
-        if not order:
-            plan += [(i, b, [], None, None, None, sizes[i], goal[i]) for b in range(n_blocks[i])]
-        else:
-            plan += [(i, b, [], None, None, None, sizes[i], goal[i]) for b in set(range(n_blocks[i])) - set(order)]
-    schema = "__source int, __block long, __shards array<int>, __cut_shard int, __end_key long, __end_size long, mix_source_size long, mix_target double"
+        for b in range(n_blocks[i]):
+            at = partial.get(b)
+            plan.append((i, b, by_block.get(b, []), None if at is None else shards[at], None if at is None else chosen[i], sizes[i], goal[i]))
+    schema = "__source int, __block long, __shards array<int>, __cut_shard int, __chosen array<long>, mix_source_size long, mix_target double"
     table = spark.createDataFrame(plan, schema)  # a row for each block: MOST_BLOCKS + MOST_SOURCES at most
     out = tagged.join(F.broadcast(table), ["__source", "__block"])
-    in_cut = F.col("__cut_shard").isNotNull() & F.col("__end_key").isNotNull() & (F.struct("__key", "mix_size") <= F.struct(F.col("__end_key").alias("__key"), F.col("__end_size").alias("mix_size")))
+    in_cut = F.coalesce(F.array_contains("__chosen", F.col("__key")), F.lit(False))
     shards = F.concat("__shards", F.when(in_cut, F.array("__cut_shard")).otherwise(F.array().cast("array<int>")))
     place = lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.col("__key"), s, i).alias("place"))
     out = out.withColumn("mix_draws", F.transform(shards, place))
