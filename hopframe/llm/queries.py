@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, minmax, mixing, toxicity, warc
+from . import ann, bpe, embdedup, langid, licenses, minmax, mixing, secrets, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -21,6 +21,12 @@ def _fold(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.generated_findings(spark))
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.coalesce(_fold(4) == 2, F.lit(False))
@@ -65,8 +71,13 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_language_id": op2_language_id,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_toxicity": op4_toxicity,
@@ -75,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_splitting_tree_mix": op7_splitting_tree_mix,
         "op8_minmax_near_dedup": op8_minmax_near_dedup,
         "op9_warc_round_trip": op9_warc_round_trip,
+        "op10_license_scan": op10_license_scan,
     }
 
 
@@ -126,4 +138,4 @@ FROM p LEFT JOIN t ON p.h = t.h AND p.n >= 1000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_near_dedup": _SQL6, "op8_minmax_near_dedup": _SQL8, "op9_warc_round_trip": _SQL9}
+    return {"op6_embedding_near_dedup": _SQL6, "op8_minmax_near_dedup": _SQL8, "op9_warc_round_trip": _SQL9, "op10_license_scan": licenses.oracle()}
