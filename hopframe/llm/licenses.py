@@ -87,16 +87,18 @@ def _looked_up(keys: Column, lists: Column) -> Column:
     return F.flatten(F.transform(keys, lambda k: F.element_at(lists, k)))
 
 
-def _window_minima(values: Column, length: int, start: int) -> Column:
-    """Minima over windows of length values, one every start values; the last ones may be shorter."""
-    if length == 1:
-        return values
+def _block_minima(values: str, length: int) -> Column:
+    """Minima of runs of length values. values is a column's name: an expression would be evaluated for every run."""
     n = F.size(values)
-    if start > 1:
-        blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / start).cast("int") - 1), lambda j: F.array_min(F.slice(values, j * start + 1, start)))
-        blocks = F.when(n > 0, blocks).otherwise(F.array().cast("array<long>"))
-        return _window_minima(blocks, length // start, 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), lambda j: F.array_min(F.slice(values, j, length)))).otherwise(F.array().cast("array<long>"))
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(n / length).cast("int") - 1), lambda j: F.array_min(F.slice(values, j * length + 1, length)))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<long>"))
+
+
+def _window_minima(values: str, length: int) -> Column:
+    """Minima of all windows of length values, or of all values if they are fewer."""
+    n = F.size(values)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), lambda j: F.array_min(F.slice(values, j, length)))
+    return F.when(n > 0, windows).otherwise(F.array().cast("array<long>"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -128,16 +130,16 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, te
     found = docs.where(F.col(text_col).rlike("(?i)" + "|".join(known))).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
     found = found.select("doc_id", _shingles(F.col("words")).alias("parts"))
     found = found.withColumn("h", F.transform("parts", lambda x: F.xxhash64(x)))
-    for i in sorted({i for length, i in wanted if length > 1}):
-        found = found.withColumn(f"h{i}", _rehashed(F.col("h"), i))
+    found = found.withColumns({f"h{i}": _rehashed(F.col("h"), i) for length, i in wanted if length > 1})
+    found = found.withColumns({f"h{i}_{length // 4}": _block_minima(f"h{i}", length // 4) for length, i in wanted if length > 4})
     hits = []
     for (length, i), by_value in sorted(wanted.items()):
-        low = _window_minima(F.col(f"h{i}" if length > 1 else "h"), length, max(1, length // 4))
+        low = F.col("h") if length == 1 else _window_minima(f"h{i}" if length == 4 else f"h{i}_{length // 4}", 4)
         among = F.array_intersect(low, F.array(*[F.lit(v).cast("long") for v in by_value]))
         names = F.create_map(*[x for v, ts in by_value.items() for x in (F.lit(v).cast("long"), F.array(*[F.lit(t) for t in ts]))])
         hits.append(_looked_up(among, names))
-    found = found.select("doc_id", "parts", F.array_distinct(F.concat(*hits)).alias("candidates")).where(F.size("candidates") > 0)
-    pairs = found.select("doc_id", "parts", F.explode("candidates").alias("template")).join(F.broadcast(table.withColumnRenamed("parts", "wanted")), "template")
+    found = found.select("doc_id", "parts", F.explode(F.array_distinct(F.concat(*hits))).alias("template"))
+    pairs = found.join(F.broadcast(table.withColumnRenamed("parts", "wanted")), "template")
     n, common = F.size("wanted"), F.size(F.array_intersect("wanted", "parts"))
     return pairs.select("doc_id", "license_id", n.cast("long").alias("n_shingles"), common.cast("long").alias("n_found")).where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
 
