@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Rows of one Arrow batch: bounds what a Python worker holds at once when texts are long.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch: they bound what a Python worker holds at once, also where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +42,8 @@ def cleanup(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size where it is above rows (0 means unbounded)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batch sizes where they are above rows and BATCH_BYTES (0 rows mean unbounded)."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))

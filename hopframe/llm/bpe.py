@@ -24,7 +24,6 @@ from ._runtime import bound_batches
 
 #: Encoded words of one generation (a worker keeps two: hot words move to the new one), and token pairs.
 _CHUNKS_KEPT, _PAIRS_KEPT = 200_000, 500_000
-_PLAIN = re.compile(r"([a-z]+)([.,]?)")
 #: What str.split() takes for white space and the files' pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -49,7 +48,11 @@ class TrieBpe:
         self.ended = {s[: -len(self.end)]: s for s in self.vocab if s.endswith(self.end) and s != self.end}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.longest = max(len(s) for s in self.vocab)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        # the byte-level character of each byte: the vocabulary names the printable ones by themselves
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self._letters = {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        self._rows: dict[str, dict[str, bool]] = {}
+        self._n_pairs = 0
         self._ids: dict[str | int, bytes] = {}
         self._strings: dict[str | int, str] = {}
         self._older = self._ids, self._strings
@@ -70,14 +73,19 @@ class TrieBpe:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
+    def _row(self, left: str) -> dict[str, bool]:
+        """For tokens seen after left, whether BPE leaves the two apart."""
+        row = self._rows.get(left)
+        if row is None:
+            row = self._rows[left] = {}
+        return row
+
     def _follows(self, left: str, right: str) -> bool:
         """Whether BPE leaves left and right apart."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= _PAIRS_KEPT:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self._symbols(left) + self._symbols(right)) == [left, right]
-        return known
+        apart = self.merge(self._symbols(left) + self._symbols(right)) == [left, right]
+        self._row(left)[right] = apart
+        self._n_pairs += 1
+        return apart
 
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word (of byte-level characters).
@@ -86,29 +94,33 @@ class TrieBpe:
         with the word before are still on the path, with their states. states[k] is the last token of the encoding of the
         first k symbols; the word's end is a symbol of its own.
         """
-        vocab, ended, pairs, follows, longest = self.vocab, self.ended, self._pairs, self._follows, self.longest
+        if self._n_pairs >= _PAIRS_KEPT:
+            self._rows, self._n_pairs = {}, 0
+        vocab, ended, row, follows, longest = self.vocab, self.ended, self._row, self._follows, self.longest
         out: dict[str, list[str]] = {}
         states: list[str] = [""]
+        rows: list[dict[str, bool]] = [{}]
         before = ""
         for word in sorted(words):
             n, shared = len(word), 0
             most = min(n, len(states)) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del states[shared + 1 :], rows[shared + 1 :]
             for depth in range(shared + 1, n):
                 for k in range(depth - longest if depth > longest else 0, depth):
                     token = word[k:depth]
                     if token in vocab:
                         if not k:
                             break
-                        apart = pairs.get((states[k], token))
+                        apart = rows[k].get(token)
                         if apart or apart is None and follows(states[k], token):
                             break
                 states.append(token)
+                rows.append(row(token))
             for k in range(n - longest if n > longest else 0, n):
                 token = ended.get(word[k:])
-                if token is not None and (not k or pairs.get((states[k], token)) or follows(states[k], token)):
+                if token is not None and (not k or ((apart := rows[k].get(token)) or apart is None and follows(states[k], token))):
                     break
             tokens = [token]
             while k:
@@ -135,8 +147,11 @@ class TrieBpe:
         """The words of a run, in byte-level characters; plain ones need no call of the library."""
         if not isinstance(chunk, str) or not chunk:
             return []
-        if plain := _PLAIN.fullmatch(chunk):
-            return [x for x in plain.groups() if x]
+        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):  # Latin letters alone, of any Unicode version
+            if not body.isascii():
+                body = body.encode().decode("latin-1").translate(self._letters)
+            return [body, mark] if mark else [body]
         return [w for w, _ in self._split(chunk)]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -149,6 +164,10 @@ class TrieBpe:
         for c in new.intersection(self._older[0]):
             known[c], strings[c] = self._older[0][c], self._older[1][c]
         split = {c: self._words(c) for c in new if c not in known}
+        for c, ws in list(split.items()):
+            if len(ws) == 2 and c.isascii() and c[:-1].isalpha() and c == ws[0] + ws[1] and ws[0] in known and ws[1] in known:  # letters and a mark
+                known[c], strings[c] = known[ws[0]] + known[ws[1]], f"{strings[ws[0]]} {strings[ws[1]]}"
+                del split[c]
         encoded = self.encode_words({w for ws in split.values() for w in ws})
         vocab = self.vocab
         for c, ws in split.items():
@@ -179,7 +198,7 @@ def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "d
 
 
 def _apply(docs: DataFrame, path: str, text_col: str, id_col: str, ids: bool) -> DataFrame:
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4096)  # the more words are walked at once, the more they share
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
