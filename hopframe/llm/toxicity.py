@@ -111,7 +111,14 @@ class Scorer:
         return float(np.maximum(most + m.bias, 0) @ m.out + m.out_bias)
 
 
-def _train(texts: list[list[str]], labels: np.ndarray, buckets: int, dim: int, filters: int, widths: tuple[int, ...], epochs: int, seed: int) -> tuple:
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """Each text as numbers of its words, and the words by number; 0 is no word."""
+    number: dict[str, int] = {"": 0}
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())), np.int32) for t in texts]
+    return rows, list(number)
+
+
+def _train(texts: list[np.ndarray], names: list[str], labels: np.ndarray, buckets: int, dim: int, filters: int, widths: tuple[int, ...], epochs: int, seed: int) -> tuple:
     """Adam over mini-batches of 16 texts; only the places that win the pooling get a gradient."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.05, (buckets, dim)).astype(np.float32)
@@ -123,12 +130,17 @@ def _train(texts: list[list[str]], labels: np.ndarray, buckets: int, dim: int, f
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     first_emb, second_emb = np.zeros_like(emb), np.zeros_like(emb)
     pad = max(1, max(widths) - 1)
-    of_word: dict[str, np.ndarray] = {}
-    ready = []
-    for words in texts:
-        names, at = np.unique(np.array([*words, ""]), return_inverse=True)  # "" sorts first: no word
-        lists = [np.zeros(1, np.int32), *(of_word.setdefault(w, np.array(word_buckets(w, buckets), np.int32)) for w in names[1:].tolist())]
-        ready.append((np.concatenate(lists), np.cumsum([0, *(len(x) for x in lists)]), np.concatenate([at[:-1], np.zeros(pad, at.dtype)])))
+    # the buckets of word i are flat[ends[i]:ends[i + 1]]
+    lists = [[0], *(word_buckets(w, buckets) for w in names[1:])]
+    ends = np.cumsum([0, *(len(x) for x in lists)], dtype=np.int64)
+    flat = np.fromiter((b for x in lists for b in x), np.int32, ends[-1])
+    del lists
+
+    def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All buckets of the words, and how many each has."""
+        n = ends[words + 1] - ends[words]
+        return flat[np.repeat(ends[words] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
     share = float(labels.mean())
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     step = 0
@@ -139,8 +151,10 @@ def _train(texts: list[list[str]], labels: np.ndarray, buckets: int, dim: int, f
             rows, row_grads = [], []
             batch = order[lo : lo + 16]
             for j in batch:
-                flat, ends, t = ready[j]
-                x = np.add.reduceat(emb[flat], ends[:-1])[t]
+                t = np.concatenate([texts[j], np.zeros(pad, np.int32)])
+                own, place = np.unique(t, return_inverse=True)
+                ids, n = spread(own)
+                x = np.add.reduceat(emb[ids], np.cumsum(n) - n)[place]
                 raw, at = np.empty(filters * len(widths), np.float32), []
                 for i, w in enumerate(widths):
                     n = len(t) - w + 1
@@ -163,9 +177,8 @@ def _train(texts: list[list[str]], labels: np.ndarray, buckets: int, dim: int, f
                     for k in range(w):
                         place = at[i][live] + k
                         grads[2 + i][k][:, live] += x[place].T * g[live]
-                        word = t[place]
-                        n = ends[word + 1] - ends[word]
-                        rows.append(flat[np.repeat(ends[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                        ids, n = spread(t[place])
+                        rows.append(ids)
                         row_grads.append(np.repeat(kernel[i][k][:, live].T * g[live, None], n, axis=0))
             step += 1
             rate = 0.004 * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -217,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     joined = text.join(F.broadcast(picked), "__id")  # at most max_docs rows of 12 bytes
     rows = joined.select("__id", "text", "lang", "y").toPandas().sort_values(["__id", "text"], kind="stable").reset_index(drop=True)
     tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000)
-    words = [_WORD.findall(t.lower()) for t in rows["text"]]
+    words, names = _numbered(rows["text"].tolist())
     y = rows["y"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(buckets, (1,), np.zeros((buckets, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), 1.0 if y.sum() else -1.0, {"": 0.0}, tongue)
@@ -225,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
     learn = np.flatnonzero(~held)
-    table, bias, out, out_bias = _train([words[i] for i in learn], y[learn], buckets, dim, filters, widths, epochs if len(learn) >= 2000 else 3 * epochs, seed)
+    table, bias, out, out_bias = _train([words[i] for i in learn], names, y[learn], buckets, dim, filters, widths, epochs if len(learn) >= 2000 else 3 * epochs, seed)
+    del words, names
     model = ToxicityModel(buckets, widths, table, bias, out, out_bias, {}, tongue)
     judged = np.flatnonzero(held) if held.any() else learn
     logits = np.array(Scorer(model).logits([rows["text"][i] for i in judged]))
