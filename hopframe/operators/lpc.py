@@ -32,52 +32,26 @@ def levinson(r: np.ndarray) -> np.ndarray:
     return a
 
 
-def _series(c: np.ndarray, x: np.ndarray | float) -> np.ndarray:
-    """sum of c[m] cos(m acos x)."""
-    return np.polynomial.chebyshev.chebval(x, c)
-
-
-def line_spectrum(a: np.ndarray, grid: int = 1024, steps: int = 20) -> np.ndarray:
+def line_spectrum(a: np.ndarray) -> np.ndarray:
     """Line spectral frequencies in (0, pi) of one row of coefficients of even order, ascending.
 
-    Roots of the symmetric and antisymmetric polynomial alternate, the symmetric one's first. They are bracketed on a grid
-    of angles and bisected; each interval is looked at again after a root. Where not all are found they are spread evenly.
+    They are the angles of the roots of the sum and the difference of the polynomial and its mirror image, without their
+    fixed roots at +-1; as series in cos w those are Chebyshev series, whose roots are eigenvalues. Where not all are
+    real and within (-1, 1) the frequencies are spread evenly.
     """
     order = len(a) - 1
-    half = order // 2
-    p, q = np.ones(half + 1), np.ones(half + 1)
-    for i in range(1, half + 1):
-        p[i] = a[i] + a[order + 1 - i] - p[i - 1]
-        q[i] = a[i] - a[order + 1 - i] + q[i - 1]
-    pair = []
-    for c in (p, q):
-        c = c[::-1].copy()
-        c[0] /= 2
-        pair.append(c)
-    found: list[float] = []
-    left, value = 1.0, _series(pair[0], 1.0)
-    for x in np.cos(np.pi * np.arange(1, grid + 1) / grid):
-        here = _series(pair[len(found) % 2], x)
-        while value * here <= 0 and len(found) < order:
-            c = pair[len(found) % 2]
-            lo, hi, at_lo = left, x, value
-            for _ in range(steps):
-                mid = (lo + hi) / 2
-                at_mid = _series(c, mid)
-                if at_lo * at_mid <= 0:
-                    hi = mid
-                else:
-                    lo, at_lo = mid, at_mid
-            left = (lo + hi) / 2
-            found.append(float(np.arccos(np.clip(left, -1, 1))))
-            c = pair[len(found) % 2]
-            value, here = _series(c, left), _series(c, x)
-        left, value = x, here
-        if len(found) == order:
-            break
-    if len(found) < order:
-        found = list(np.pi * np.arange(1, order + 1) / (order + 1))
-    return np.sort(spread(np.array(found), 0.001))
+    mirrored = np.r_[a, 0.0], np.r_[0.0, a[::-1]]
+    angles = []
+    for poly, fixed in ((mirrored[0] + mirrored[1], [1.0, 1.0]), (mirrored[0] - mirrored[1], [1.0, -1.0])):
+        rest = np.polydiv(poly, fixed)[0]
+        middle = order // 2
+        series = np.r_[rest[middle], 2 * rest[middle + 1 :]]
+        x = np.polynomial.chebyshev.chebroots(series)
+        angles.append(np.arccos(np.real(x[(np.abs(np.imag(x)) < 1e-9) & (np.abs(np.real(x)) < 1)])))
+    found = np.sort(np.concatenate(angles))
+    if len(found) != order:
+        found = np.pi * np.arange(1, order + 1) / (order + 1)
+    return np.sort(spread(found, 0.001))
 
 
 def spread(lsp: np.ndarray, least: float) -> np.ndarray:
@@ -118,40 +92,22 @@ def envelope_column(lsp: Column, cosine: Column) -> Column:
     return 0.5 / (p * p * (2 - 2 * cosine) + q * q * (2 + 2 * cosine))
 
 
-def _ramp(out: np.ndarray, a: int, b: int) -> None:
-    """Straight line between the values at a and b."""
-    out[a : b + 1] = np.linspace(out[a], out[b], b - a + 1)
-
-
-def adaptive_envelope(lsp: np.ndarray, size: int, step: int, upper: bool) -> np.ndarray:
-    """Half of an envelope of 2 * size bins: every step-th bin is computed; between two, the middle bin too where the
-    curve bends down there, and straight lines elsewhere. The last step repeats no line: see envelope()."""
-    at = np.cos((2 * np.arange(size) + 1) * np.pi / (4 * size))
-    cosine = -at[::-1] if upper else at
-    doubled = 2 * np.cos(lsp)
-    out = np.zeros(size)
-    nodes = np.arange(0, size, step)
-    out[nodes] = envelope_at(doubled, cosine[nodes])
-    for i in range(step, size - 2 * step + 1, step):
-        before, after = out[i - step], out[i + step]
-        if not (after + before > 1.95 * out[i] or after >= before):
-            mid = i - step // 2
-            out[mid] = envelope_at(doubled, cosine[mid : mid + 1])[0]
-            _ramp(out, i - step, mid)
-            _ramp(out, mid, i)
-        else:
-            _ramp(out, i - step, i)
-    _ramp(out, size - 2 * step, size - step)
-    return out
-
-
 def envelope(lsp: np.ndarray, n: int, low_step: int = 8, high_step: int = 16) -> np.ndarray:
-    """Envelope of n bins: the lower half with the finer step, a line across the seam, the last bins held."""
+    """Envelope of n bins by knots and straight lines: a knot every low_step bins of the lower half and high_step of the
+    upper, and one more in the middle of two where the curve falls and is concave; the last value is held.
+    """
     half = n // 2
-    out = np.concatenate([adaptive_envelope(lsp, half, low_step, False), adaptive_envelope(lsp, half, high_step, True)])
-    _ramp(out, half - low_step, half)
-    out[n - high_step + 1 :] = out[n - high_step]
-    return out
+    doubled = 2 * np.cos(lsp)
+    value = lambda bins: envelope_at(doubled, np.cos((2 * bins + 1) * (np.pi / (2 * n))))
+    knots = []
+    for start, step in ((0, low_step), (half, high_step)):
+        nodes = np.arange(start, start + half, step)
+        v = value(nodes)
+        before, here, after = v[:-2], v[1:-1], v[2:]
+        bent = ~((after + before > 1.95 * here) | (after >= before))
+        knots += [nodes, nodes[1:-1][bent] - step // 2]
+    at = np.sort(np.concatenate(knots))
+    return np.interp(np.arange(n), at, value(at))
 
 
 def lags(hops: DataFrame, n: int, order: int) -> DataFrame:
