@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import record_queries, signal_queries, vector_queries  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    """Lapped transform of every signal and its inverse."""
+    return signal_queries.imdct_overlap_add(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

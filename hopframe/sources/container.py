@@ -12,7 +12,7 @@ from ..functions.bits import be_bytes, be_int
 #: Fixed values of the format.
 MAGIC, VERSIONS, DATA = "TWIN", ("97012000", "00052200"), "DATA"
 #: Chunk id of each tag, in the order in which tags are written; a track number has a second id.
-TAGS = (("title", "NAME"), ("artist", "AUTH"), ("comment", "COMT"), ("copyright", "(c) "), ("album", "ALBM"), ("genre", "GENR"), ("track", "TRCK"), ("year", "YEAR"), ("composer", "MUSC"), ("publisher", "PROD"))
+TAGS = (("title", "NAME"), ("artist", "AUTH"), ("comment", "COMT"), ("copyright", "(c) "), ("album", "ALBM"), ("genre", "GENR"), ("track", "TRCK"), ("year", "YEAR"), ("composer", "MUSC"), ("publisher", "LABL"))
 ALIASES = {"TRAC": "TRCK"}
 #: Chunks that a header may have: the walk over them is unrolled by a bounded aggregate.
 MOST_CHUNKS = 256
@@ -29,9 +29,9 @@ def chunk(name: Column | str, payload: Column) -> Column:
 
 
 def comm_payload(channels: Column, kbps: Column, rate: Column) -> Column:
-    """Channels - 1, kbit/s, a flag for the rate (44, 22, 11 for the odd rates, else kHz) and a security level of 0."""
+    """Channels - 1, kbit/s, a flag for the rate (44, 22, 11 for the odd rates, else kHz)."""
     flag = F.when(rate == 44_100, 44).when(rate == 22_050, 22).when(rate == 11_025, 11).otherwise(F.call_function("div", rate, F.lit(1000)))
-    return F.concat(be_bytes(channels - 1, 4), be_bytes(kbps, 4), be_bytes(flag, 4), be_bytes(F.lit(0), 4))
+    return F.concat(be_bytes(channels - 1, 4), be_bytes(kbps, 4), be_bytes(flag, 4))
 
 
 def header(chunks: Column, version: str = VERSIONS[0]) -> Column:
@@ -64,7 +64,8 @@ def parse(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("
             F.when(stop | at_data, s["error"]).when(past, F.lit("no data marker")).alias("error"),
         )
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(MOST_CHUNKS)), start, step)
+    most = F.least(F.lit(MOST_CHUNKS), F.greatest(F.coalesce(F.call_function("div", size - 8, F.lit(8)), F.lit(0)), F.lit(0)).cast("int"))
+    walked = F.aggregate(F.sequence(F.lit(0), most), start, step)
     version = text(F.substring(c, 5, 8))
     bad = F.when(c.isNull() | (size < 16) | (text(F.substring(c, 1, 4)) != MAGIC), "no container").when(~version.isin(*VERSIONS), "unknown version")
     out = files.select(*keep, version.alias("version"), walked.alias("w"), bad.alias("b"))
@@ -74,7 +75,9 @@ def parse(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("
 
 def exploded(parsed: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
     """(keep, chunk_no, id, payload) of parse()."""
-    return parsed.select(*keep, F.explode("chunks").alias("c")).select(*keep, "c.chunk_no", "c.id", "c.payload")
+    # the outer form, as the plain one makes the optimizer repeat the whole walk in a filter below
+    rows = parsed.select(*keep, F.explode_outer("chunks").alias("c")).where("c is not null")
+    return rows.select(*keep, "c.chunk_no", "c.id", "c.payload")
 
 
 def tag_value(name: Column, payload: Column, compat: bool = False) -> Column:

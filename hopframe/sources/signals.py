@@ -14,7 +14,7 @@ def dense_index(df: DataFrame, keys: list[str], ts: str, ties: list[str], name:
     No key passes through one task: rows are ranked within a span of seconds, and spans are offset by the running count
     of the spans before, which is a small table. Null times come first.
     """
-    span = F.coalesce(F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("long"), F.lit(-(2**62)))
+    span = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)).cast("long"), F.lit(-(2**62)))
     df = df.withColumn("__span", span)
     counts = df.groupBy(*keys, "__span").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
