@@ -19,30 +19,33 @@ from ._runtime import bound_batches
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_WORDS_KEPT = 100_000
+_WORDS_KEPT = 250_000
 
 
 @dataclass
 class LanguageModel:
-    """words and grams map a string to a row of log probabilities, a column for each language."""
+    """words and grams map a string to its row of logs: log probabilities, a column for each language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
     longest: int
 
 
-def _table(rows: pd.DataFrame, languages: list[str]) -> dict[str, np.ndarray]:
-    """log((count + 1/2) / (total + vocabulary / 2)) by language for each string; a string's length is its own total."""
-    out: dict[str, np.ndarray] = {}
+def _tables(rows: pd.DataFrame, languages: list[str]) -> tuple[list[dict[str, int]], np.ndarray]:
+    """For words (kind 0) and n-grams (kind n), log((count + 1/2) / total) by language; each kind has its own total."""
+    numbers: list[dict[str, int]] = [{}, {}]
+    parts, start = [np.zeros((0, len(languages)))], 0
     column = {x: i for i, x in enumerate(languages)}
-    for _, part in rows.groupby("kind"):
-        names, row = np.unique(part["item"].to_numpy(dtype=str), return_inverse=True)
+    for kind, part in rows.groupby("kind"):
+        names, row = np.unique(part["item"].to_numpy(dtype=object).astype(str), return_inverse=True)
         counts = np.full((len(names), len(languages)), 0.5)
         counts[row, part["lang"].map(column).to_numpy()] += part["n"].to_numpy()
-        logs = np.log(counts) - np.log(counts.sum(0))
-        out.update(zip(names.tolist(), logs, strict=True))
-    return out
+        parts.append(np.log(counts) - np.log(counts.sum(0)))
+        numbers[int(kind > 0)].update(zip(names.tolist(), range(start, start + len(names)), strict=True))
+        start += len(names)
+    return numbers, np.concatenate(parts)
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 4000, max_words: int = 20_000, max_grams: int = 20_000, longest: int = 5) -> LanguageModel:
@@ -54,7 +57,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, F.lit(17)).alias("h")).where("text is not null and lang is not null")
     per_lang = src.groupBy("lang").count().collect()
     if not per_lang:
-        return LanguageModel([], {}, {}, longest)
+        return LanguageModel([], {}, {}, np.zeros((0, 0)), longest)
     share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, max_docs / r["count"]))])
     taken = src.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
@@ -73,7 +76,8 @@ def _collected(counted: DataFrame, max_words: int, max_grams: int, longest: int)
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("place").toPandas()
     languages = sorted(kept["lang"].unique())
-    return LanguageModel(languages, _table(kept[kept["kind"] == 0], languages), _table(kept[kept["kind"] > 0], languages), longest)
+    (words, grams), logs = _tables(kept, languages)
+    return LanguageModel(languages, words, grams, logs, longest)
 
 
 class Scorer:
@@ -85,37 +89,50 @@ class Scorer:
         self._matrix = np.zeros((1024, len(model.languages)))
 
     def _word(self, word: str) -> np.ndarray:
-        found = self.model.words.get(word)
+        m = self.model
+        found = m.words.get(word)
         if found is not None:
-            return found
+            return m.logs[found]
         marked = f"^{word}$"
-        for n in range(min(self.model.longest, len(marked)), 0, -1):
-            known = [g for i in range(len(marked) - n + 1) if (g := self.model.grams.get(marked[i : i + n])) is not None]
+        for n in range(min(m.longest, len(marked)), 0, -1):
+            known = [g for i in range(len(marked) - n + 1) if (g := m.grams.get(marked[i : i + n])) is not None]
             if known:
-                return np.sum(known, axis=0) / len(known)
-        return np.zeros(len(self.model.languages))
-
-    def _row(self, word: str) -> int:
-        i = self._rows.get(word)
-        if i is None:
-            if (i := len(self._rows)) == len(self._matrix):
-                self._matrix = np.concatenate([self._matrix, np.zeros_like(self._matrix)])
-            self._matrix[i] = self._word(word)
-            self._rows[word] = i
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Likeliest language and its posterior probability; ties go to the first language by name."""
-        words = Counter(_LETTERS.findall((text or "").lower()))
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
+                return m.logs[known].mean(0)
+        return np.zeros(len(m.languages))
+
+    def _learn(self, words: set[str]) -> None:
+        """Make rows for new words; when there are too many, those of other texts than these go."""
         if len(self._rows) > _WORDS_KEPT:
-            self._rows.clear()
-        rows = [self._row(w) for w in words]
-        logs = np.fromiter(words.values(), float, len(rows)) @ self._matrix[rows]
-        odds = np.exp(logs - logs.max())
-        best = int(odds.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+            kept = [w for w in words if w in self._rows]
+            matrix = self._matrix[[self._rows[w] for w in kept]]
+            self._rows, self._matrix = {w: i for i, w in enumerate(kept)}, matrix
+        new = [w for w in words if w not in self._rows]
+        start = len(self._rows)
+        if start + len(new) > len(self._matrix):
+            bigger = np.zeros((2 * (start + len(new)), len(self.model.languages)))
+            bigger[:start] = self._matrix[:start]
+            self._matrix = bigger
+        for i, w in enumerate(new, start=start):
+            self._matrix[i] = self._word(w)
+            self._rows[w] = i
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Likeliest language of each text and its posterior probability; ties go to the first language by name."""
+        out = []
+        for lo in range(0, len(texts), 256):
+            counted = [Counter(_LETTERS.findall((t or "").lower())) for t in texts[lo : lo + 256]]
+            if self.model.languages:
+                self._learn(set().union(*counted))
+            for words in counted:
+                if not words or not self.model.languages:
+                    out.append((UNKNOWN, 0.0))
+                    continue
+                rows = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
+                logs = np.fromiter(words.values(), float, len(rows)) @ self._matrix[rows]
+                odds = np.exp(logs - logs.max())
+                best = int(odds.argmax())
+                out.append((self.model.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -132,7 +149,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(x) for x in batch.column("__text").to_pylist()]
+            found = scorer.predict(batch.column("__text").to_pylist())
             one, two = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], one, two], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 

@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, filters of several widths, max pooling.
 
-A word's embedding is the sum of its hashed buckets: one for the word and one for each of its marked character n-grams,
+A word's embedding is the sum of its hashed buckets: one for the word and one for each of its marked n-grams,
 so that forms never seen in training share what is known of their stems. Trained in numpy with Adam. A filter of width
 w over embeddings is a sum of w vectors, one for each place, that depend on the word there alone; scoring computes them
 once for each word and is then look-ups, additions and a maximum.
@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +23,32 @@ from . import langid
 from ._runtime import bound_batches
 
 _WORD = re.compile(r"\w+")
-#: Words whose vectors a worker keeps (some 400 bytes each), and rows of text that are scored between two look-ups.
-_WORDS_KEPT = 100_000
+#: Words whose vectors a worker keeps, some 400 bytes each.
+_WORDS_KEPT = 120_000
 #: Words of one pass; longer texts take several that overlap, whose maxima are those of the whole text.
 _PASS = 16_384
-#: Lengths of the n-grams; of longer words than this only so many first and last letters make n-grams.
-_GRAMS, _LONG = (4, 5), 12
+#: Length of the n-grams, in bytes of UTF-8; of longer words only so many first and last bytes make n-grams.
+_GRAM, _LONG = 5, 16
 
 
 def word_buckets(word: str, buckets: int) -> list[int]:
     """The word's buckets; 0 is kept for no word."""
-    marked = f"<{word}>" if len(word) <= 2 * _LONG else f"<{word[:_LONG]}"
-    parts = [f"={word}", *(marked[i : i + n] for n in _GRAMS for i in range(len(marked) - n + 1))]
-    if len(word) > 2 * _LONG:
-        tail = f"{word[-_LONG:]}>"
-        parts += [tail[i : i + n] for n in _GRAMS for i in range(len(tail) - n + 1)]
-    return [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (buckets - 1) for x in parts]
+    b = word.encode("utf-8", "surrogatepass")
+    marked = b"<" + b + b">"
+    if len(b) > 2 * _LONG:
+        starts = [*range(_LONG - _GRAM + 1), *range(len(marked) - _LONG, len(marked) - _GRAM + 1)]
+    else:
+        starts = range(len(marked) - _GRAM + 1)
+    crc, n = zlib.crc32, buckets - 1
+    return [1 + crc(b"=" + b) % n, *[1 + crc(marked[i : i + _GRAM]) % n for i in starts]]
 
 
-def _summed(table: np.ndarray, words: list[str], buckets: int) -> np.ndarray:
+def _summed(table: np.ndarray, words: list[str], buckets: int, out: np.ndarray) -> None:
     """Sum of the table's rows over each word's buckets."""
-    out = np.zeros((len(words), table.shape[1]), table.dtype)
     for lo in range(0, len(words), 1024):
         lists = [word_buckets(w, buckets) for w in words[lo : lo + 1024]]
-        starts = np.cumsum([0, *(len(x) for x in lists[:-1])])
-        out[lo : lo + 1024] = np.add.reduceat(table[np.concatenate(lists)], starts)
-    return out
+        starts = np.cumsum([0, *map(len, lists[:-1])])
+        out[lo : lo + len(lists)] = np.add.reduceat(table[np.fromiter(chain.from_iterable(lists), np.int64)], starts)
 
 
 @dataclass
@@ -74,20 +75,25 @@ class Scorer:
         self._vectors = np.zeros((1, model.table.shape[1]), np.float32)  # row 0: no word
 
     def _learn(self, words: set[str]) -> None:
+        """Make vectors for new words; when there are too many, those of other texts than these go."""
         if len(self._rows) > _WORDS_KEPT:
-            self._rows, self._vectors = {}, self._vectors[:1]
-        new = sorted(words.difference(self._rows))
-        self._rows.update((w, i) for i, w in enumerate(new, start=len(self._vectors)))
-        self._vectors = np.concatenate([self._vectors, _summed(self.model.table, new, self.model.buckets)])
+            kept = [w for w in words if w in self._rows]
+            self._vectors[1 : len(kept) + 1] = self._vectors[[self._rows[w] for w in kept]]
+            self._rows = {w: i for i, w in enumerate(kept, start=1)}
+        new = [w for w in words if w not in self._rows]
+        start, end = len(self._rows) + 1, len(self._rows) + 1 + len(new)
+        if end > len(self._vectors):
+            bigger = np.zeros((min(2 * end, max(end, _WORDS_KEPT + 20_000)), self._vectors.shape[1]), np.float32)
+            bigger[:start] = self._vectors[:start]
+            self._vectors = bigger
+        _summed(self.model.table, new, self.model.buckets, self._vectors[start:end])
+        self._rows.update(zip(new, range(start, end), strict=True))
 
     def logits(self, texts: list[str | None]) -> list[float]:
-        split = [_WORD.findall((t or "").lower()) for t in texts]
         out = []
-        for lo in range(0, len(split), 128):
-            part = split[lo : lo + 128]
-            needed = {w for ws in part for w in ws}
-            if not needed <= self._rows.keys():
-                self._learn(needed)
+        for lo in range(0, len(texts), 256):
+            part = [_WORD.findall((t or "").lower()) for t in texts[lo : lo + 256]]
+            self._learn(set().union(*part))
             out += [self._logit(np.fromiter(map(self._rows.__getitem__, ws), np.int32, len(ws))) for ws in part]
         return out
 
@@ -210,7 +216,7 @@ def _calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(cuts[best[gaps[best].argmax()]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 6000, min_lang_docs: int = 200, buckets: int = 1 << 16, dim: int = 16, filters: int = 16, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, seed: int = 5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 5000, min_lang_docs: int = 200, buckets: int = 1 << 16, dim: int = 16, filters: int = 16, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, seed: int = 5) -> ToxicityModel:
     """Train on a bounded, hash-chosen sample of max_docs labelled rows (at most half of them of either label where the
     other has enough), with their whole texts; a fifth of it is held out for the thresholds.
 
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *([F.col("lang")] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]))
     joined = text.join(F.broadcast(picked), "__id")  # at most max_docs rows of 12 bytes
     rows = joined.select("__id", "text", "lang", "y").toPandas().sort_values(["__id", "text"], kind="stable").reset_index(drop=True)
-    tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000)
+    tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000, max_words=5000, max_grams=5000)
     words, names = _numbered(rows["text"].tolist())
     y = rows["y"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
@@ -244,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     judged = np.flatnonzero(held) if held.any() else learn
     logits = np.array(Scorer(model).logits([rows["text"][i] for i in judged]))
     scorer = langid.Scorer(tongue)
-    spoken = np.array([scorer.predict(rows["text"][i])[0] for i in judged])
+    spoken = np.array([x for x, _ in scorer.predict([rows["text"][i] for i in judged])])
     model.calibration[""] = _calibrate(logits, y[judged])
     for name in sorted(set(spoken.tolist())):
         own = spoken == name
@@ -268,7 +274,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
         tongue, scorer = langid.Scorer(m.language), Scorer(m)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            shifts = [m.calibration.get(tongue.predict(t)[0], m.calibration[""]) if len(m.calibration) > 1 else m.calibration[""] for t in texts]
+            spoken = tongue.predict(texts) if len(m.calibration) > 1 else [("", 0.0)] * len(texts)
+            shifts = [m.calibration.get(x, m.calibration[""]) for x, _ in spoken]
             raw = np.clip(np.array(scorer.logits(texts)) - np.array(shifts), -500, 500)
             found = 1 / (1 + np.exp(-raw))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
