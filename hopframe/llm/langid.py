@@ -74,7 +74,7 @@ def _collected(counted: DataFrame, max_words: int, max_grams: int, longest: int)
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("place").toPandas()
+    kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("place").toArrow().to_pandas()
     languages = sorted(kept["lang"].unique())
     (words, grams), logs = _tables(kept, languages)
     return LanguageModel(languages, words, grams, logs, longest)

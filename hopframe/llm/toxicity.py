@@ -216,7 +216,7 @@ def _calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(cuts[best[gaps[best].argmax()]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 5000, min_lang_docs: int = 200, buckets: int = 1 << 16, dim: int = 16, filters: int = 16, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, seed: int = 5) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 6000, min_lang_docs: int = 200, buckets: int = 1 << 16, dim: int = 16, filters: int = 16, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 6, seed: int = 5) -> ToxicityModel:
     """Train on a bounded, hash-chosen sample of max_docs labelled rows (at most half of them of either label where the
     other has enough), with their whole texts; a fifth of it is held out for the thresholds.
 
@@ -234,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     picked = one.where(place < share * 1_000_000)
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *([F.col("lang")] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]))
     joined = text.join(F.broadcast(picked), "__id")  # at most max_docs rows of 12 bytes
-    rows = joined.select("__id", "text", "lang", "y").toPandas().sort_values(["__id", "text"], kind="stable").reset_index(drop=True)
-    tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000, max_words=5000, max_grams=5000)
+    rows = joined.select("__id", "text", "lang", "y").toArrow().to_pandas().sort_values(["__id", "text"], kind="stable").reset_index(drop=True)
+    tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000)
     words, names = _numbered(rows["text"].tolist())
     y = rows["y"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
