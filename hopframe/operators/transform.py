@@ -130,6 +130,7 @@ def synthesise(spectra: np.ndarray, window_types: list[int], n: int, sub_medium:
 
     Blocks tile the time line. A block fades in around its start and out around the next one's, over the width that the
     later of the two has; the aliases of the two cancel there. A frame therefore needs the frame before and no other.
+    ValueError if a slope is wider than one of the blocks that it joins.
     """
     blocks, start = [], 0
     for row, kind in zip(spectra, window_types, strict=True):
@@ -142,6 +143,8 @@ def synthesise(spectra: np.ndarray, window_types: list[int], n: int, sub_medium:
     rise = lambda w: np.sin((np.arange(w) + 0.5) * (np.pi / (2 * w)))
     for j, (t, size, slope, coefs) in enumerate(blocks):
         after = blocks[j + 1][2] if j + 1 < len(blocks) else size
+        if max(slope, after) > size:
+            raise ValueError(f"the block at {t} is shorter than the slope beside it")
         shape = np.concatenate([np.zeros((size - slope) // 2), rise(slope), np.ones((size - slope) // 2), np.ones((size - after) // 2), rise(after)[::-1], np.zeros((size - after) // 2)])
         scale = -np.sqrt((1.0 if stereo else 2.0) / size) / 32768.0
         line[n + t - size // 2 : n + t + size + size // 2] += imdct(coefs[None], scale)[0] * shape
