@@ -176,6 +176,11 @@ class TrieBpe:
             strings[c] = " ".join(tokens)
         return [(b"".join(map(known.__getitem__, p)), " ".join(map(strings.__getitem__, p))) for p in pieces]
 
+    def forget(self) -> None:
+        """Drop the words seen so far; what is known of token pairs stays."""
+        self._ids, self._strings = {}, {}
+        self._older = self._ids, self._strings
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with a blank between two; unknown ids are left out."""
         return " ".join(self.names[i] for i in ids if i in self.names)
@@ -213,6 +218,7 @@ def _apply(docs: DataFrame, path: str, text_col: str, id_col: str, ids: bool) ->
                 one = pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string())
                 two = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in got], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, one, two], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()  # the worker lives on for other tasks
 
     schema = "doc_id long, ids array<int>, n_tokens long" if ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return src.mapInArrow(run, schema)

@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     key = _mix(key * _MULT + column)
                 keys.append(key.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        _HASHES.clear()  # the worker lives on for other tasks
 
     return src.mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
 
