@@ -14,6 +14,8 @@ from hopframe.llm._runtime import materialize
 
 #: A prediction under this score is no decision: with L languages 1/L is a guess.
 LEAST_SCORE = 0.4
+#: Ids, 8 bytes each, that are broadcast rather than joined by a shuffle of all texts.
+MOST_BROADCAST = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the document with the smallest doc_id of each group of near-duplicates (5-word shingles, similarity of 0.8
     or more); rows that repeat a kept doc_id are one document, of which one row stays. Null ids stay."""
     groups = minmax.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    gone = materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
+    if gone.count() <= MOST_BROADCAST:  # else both sides are shuffled by doc_id
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
