@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -85,20 +86,23 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self._logs = np.concatenate([model.logs, np.zeros((1, len(model.languages)))])  # the last row: nothing known
         self._rows: dict[str, int] = {}
         self._matrix = np.zeros((1024, len(model.languages)))
 
-    def _word(self, word: str) -> np.ndarray:
+    def _known(self, word: str) -> list[int]:
+        """Rows of which the mean is the word's: its own, or those of its longest n-grams of which any is known."""
         m = self.model
         found = m.words.get(word)
         if found is not None:
-            return m.logs[found]
+            return [found]
         marked = f"^{word}$"
+        grams = m.grams
         for n in range(min(m.longest, len(marked)), 0, -1):
-            known = [g for i in range(len(marked) - n + 1) if (g := m.grams.get(marked[i : i + n])) is not None]
+            known = [g for i in range(len(marked) - n + 1) if (g := grams.get(marked[i : i + n])) is not None]
             if known:
-                return m.logs[known].mean(0)
-        return np.zeros(len(m.languages))
+                return known
+        return [len(m.logs)]
 
     def _learn(self, words: set[str]) -> None:
         """Make rows for new words; when there are too many, those of other texts than these go."""
@@ -112,9 +116,12 @@ class Scorer:
             bigger = np.zeros((2 * (start + len(new)), len(self.model.languages)))
             bigger[:start] = self._matrix[:start]
             self._matrix = bigger
-        for i, w in enumerate(new, start=start):
-            self._matrix[i] = self._word(w)
-            self._rows[w] = i
+        if new:
+            lists = [self._known(w) for w in new]
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            sums = np.add.reduceat(self._logs[np.fromiter(chain.from_iterable(lists), np.int64)], np.cumsum(n) - n)
+            self._matrix[start : start + len(new)] = sums / n[:, None]
+            self._rows.update(zip(new, range(start, start + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Likeliest language of each text and its posterior probability; ties go to the first language by name."""
