@@ -116,12 +116,12 @@ class Scorer:
             bigger = np.zeros((2 * (start + len(new)), len(self.model.languages)))
             bigger[:start] = self._matrix[:start]
             self._matrix = bigger
-        if new:
-            lists = [self._known(w) for w in new]
+        for lo in range(0, len(new), 4096):
+            lists = [self._known(w) for w in new[lo : lo + 4096]]
             n = np.fromiter(map(len, lists), np.int64, len(lists))
             sums = np.add.reduceat(self._logs[np.fromiter(chain.from_iterable(lists), np.int64)], np.cumsum(n) - n)
-            self._matrix[start : start + len(new)] = sums / n[:, None]
-            self._rows.update(zip(new, range(start, start + len(new)), strict=True))
+            self._matrix[start + lo : start + lo + len(lists)] = sums / n[:, None]
+        self._rows.update(zip(new, range(start, start + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Likeliest language of each text and its posterior probability; ties go to the first language by name."""
