@@ -61,15 +61,15 @@ def nearest(df: DataFrame, book: tuple[np.ndarray, np.ndarray], keep: list[str],
     return _mapped(df, vector, keep, "slot int, code long, err double", kernel)
 
 
-def two_stage(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndarray, beam: int = 4, passes: int = 2, signed: bool = True) -> dict[str, np.ndarray]:
+def two_stage(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndarray, beam: int = 4, passes: int = 2, signed: tuple[bool, bool] = (True, True)) -> dict[str, np.ndarray]:
     """Signed codes (i, s, j, t) with the small weighted error of x - s first[i] - t second[j].
 
     The beam best (i, s) each try every (j, t); then each stage is searched again with the other held. Earlier choices
     win ties, in the order of slot, code, sign + before -.
     """
-    signs = (1.0, -1.0) if signed else (1.0,)
-    both = lambda book: np.stack([s * book for s in signs], 1).reshape(-1, book.shape[1])
-    one, two = both(first), both(second)
+    signs = [(1.0, -1.0) if x else (1.0,) for x in signed]
+    both = lambda book, own: np.stack([s * book for s in own], 1).reshape(-1, book.shape[1])
+    one, two = both(first, signs[0]), both(second, signs[1])
     w = weight / np.maximum(weight.max(1, keepdims=True), 1e-30)
     slots = np.argsort(errors(x, one, w), axis=1, kind="stable")[:, :beam]
     n = len(x)
@@ -92,9 +92,8 @@ def two_stage(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.n
                 b = np.where(better, at, b)
             else:
                 a = np.where(better, at, a)
-    m = len(signs)
-    sign = np.array(signs, dtype=np.int32)
-    return {"code0": a // m, "sign0": sign[a % m], "code1": b // m, "sign1": sign[b % m], "err": best}
+    m, k = len(signs[0]), len(signs[1])
+    return {"code0": a // m, "sign0": np.array(signs[0], np.int32)[a % m], "code1": b // k, "sign1": np.array(signs[1], np.int32)[b % k], "err": best}
 
 
 def quantize_two_stage(df: DataFrame, first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], keep: list[str], vector: str = "v", weight=None, passes: int = 2) -> DataFrame:
