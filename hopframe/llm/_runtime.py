@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,10 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
         if now <= 0 or now > most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def release() -> None:
+    """Hand a worker's freed memory back to the system; it lives on for other tasks."""
+    gc.collect()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bound_batches
+from ._runtime import bound_batches, release
 
 #: Encoded words of one generation (a worker keeps two: hot words move to the new one), and token pairs.
 _CHUNKS_KEPT, _PAIRS_KEPT = 200_000, 500_000
@@ -154,26 +154,27 @@ class TrieBpe:
             return [body, mark] if mark else [body]
         return [w for w, _ in self._split(chunk)]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+    def encode_batch(self, texts: list[str], decoded: bool = True) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text; without decoded, "" for it."""
         pieces = [[c for c in p if c != ""] if "" in p else p for p in map(self._pieces, texts)]
         if len(self._ids) >= _CHUNKS_KEPT:
             self._older, self._ids, self._strings = (self._ids, self._strings), {}, {}
         known, strings = self._ids, self._strings
-        new = set().union(*pieces).difference(known)
-        for c in new.intersection(self._older[0]):
-            known[c], strings[c] = self._older[0][c], self._older[1][c]
-        split = {c: self._words(c) for c in new if c not in known}
-        for c, ws in list(split.items()):
-            if len(ws) == 2 and c.isascii() and c[:-1].isalpha() and c == ws[0] + ws[1] and ws[0] in known and ws[1] in known:  # letters and a mark
-                known[c], strings[c] = known[ws[0]] + known[ws[1]], f"{strings[ws[0]]} {strings[ws[1]]}"
-                del split[c]
+        new = set().union(*pieces).difference(strings if decoded else known)
+        for c in new.intersection(self._older[1 if decoded else 0]):
+            known[c] = self._older[0][c]
+            if decoded:
+                strings[c] = self._older[1][c]
+        split = {c: self._words(c) for c in new if c not in (strings if decoded else known)}
         encoded = self.encode_words({w for ws in split.values() for w in ws})
         vocab = self.vocab
         for c, ws in split.items():
             tokens = [t for w in ws for t in encoded[w]] if isinstance(c, str) else [self.names[c]]
             known[c] = array("I", [vocab[t] for t in tokens] if isinstance(c, str) else [c]).tobytes()
-            strings[c] = " ".join(tokens)
+            if decoded:
+                strings[c] = " ".join(tokens)
+        if not decoded:
+            return [(b"".join(map(known.__getitem__, p)), "") for p in pieces]
         return [(b"".join(map(known.__getitem__, p)), " ".join(map(strings.__getitem__, p))) for p in pieces]
 
     def forget(self) -> None:
@@ -203,13 +204,13 @@ def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "d
 
 
 def _apply(docs: DataFrame, path: str, text_col: str, id_col: str, ids: bool) -> DataFrame:
-    bound_batches(docs.sparkSession, 4096)  # the more words are walked at once, the more they share
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            got = bpe.encode_batch(batch.column("text").to_pylist())
+            got = bpe.encode_batch(batch.column("text").to_pylist(), decoded=not ids)
             n = pa.array([len(x) // 4 for x, _ in got], pa.int64())
             if ids:
                 out = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in got], pa.list_(pa.int32()))
@@ -218,7 +219,8 @@ def _apply(docs: DataFrame, path: str, text_col: str, id_col: str, ids: bool) ->
                 one = pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string())
                 two = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in got], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, one, two], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.forget()  # the worker lives on for other tasks
+        bpe.forget()
+        release()
 
     schema = "doc_id long, ids array<int>, n_tokens long" if ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return src.mapInArrow(run, schema)

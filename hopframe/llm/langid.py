@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bound_batches
+from ._runtime import bound_batches, release
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_WORDS_KEPT = 250_000
+_WORDS_KEPT = 100_000
 
 
 @dataclass
@@ -159,5 +159,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
             found = scorer.predict(batch.column("__text").to_pylist())
             one, two = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], one, two], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        del scorer
+        release()
 
     return src.mapInArrow(run, schema)

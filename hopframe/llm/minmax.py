@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bound_batches, materialize
+from ._runtime import bound_batches, materialize, release
 from .components import connected_components
 
 #: 80 hash functions make 160 values, 32 bands of 5: two texts with similarity 0.8 share no band with chance 3e-6.
@@ -21,7 +21,7 @@ AGREE = 0.62
 #: Members of a block, and shingles of a block: larger buckets and clusters are compared block by block.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 
 
 class _WordHash(dict):
@@ -105,7 +105,8 @@ def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     key = _mix(key * _MULT + column)
                 keys.append(key.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
-        _HASHES.clear()  # the worker lives on for other tasks
+        _HASHES.clear()
+        release()
 
     return src.mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
 

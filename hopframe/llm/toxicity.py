@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from ._runtime import bound_batches
+from ._runtime import bound_batches, release
 
 _WORD = re.compile(r"\w+")
 #: Words whose vectors a worker keeps, some 400 bytes each.
@@ -279,5 +279,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
             raw = np.clip(np.array(scorer.logits(texts)) - np.array(shifts), -500, 500)
             found = 1 / (1 + np.exp(-raw))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+        del tongue, scorer
+        release()
 
     return src.mapInArrow(run, schema)

@@ -28,6 +28,19 @@ def test_bpe_is_the_librarys(spark):
         assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want)
 
 
+def test_bpe_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "_CHUNKS_KEPT", 5)
+    monkeypatch.setattr(bpe, "_PAIRS_KEPT", 3)
+    own, other = bpe.TrieBpe(queries.tokenizer_file()), bpe.TrieBpe(queries.tokenizer_file())
+    texts = [f"word{i % 7} and other{i} words, of all. Kinds" for i in range(40)]
+    want = other.encode_batch(texts)
+    for k in range(0, 40, 4):
+        assert [x for x, _ in own.encode_batch(texts[k : k + 4], decoded=False)] == [x for x, _ in want[k : k + 4]]
+        assert own.encode_batch(texts[k : k + 4]) == want[k : k + 4]
+        if k % 3 == 0:
+            own.forget()
+
+
 def test_bpe_rows(spark):
     docs = spark.createDataFrame([(1, "Hello world"), (2, None), (None, "x"), (1, "Hello world")], "doc_id long, text string").selectExpr("*", "7 as ids")
     path = queries.tokenizer_file()
