@@ -104,6 +104,14 @@ class Scorer:
                 return known
         return [len(m.logs)]
 
+    def fill(self, words: list[str], out: np.ndarray) -> None:
+        """Write each word's logs, a column for each language, to the rows of out."""
+        for lo in range(0, len(words), 4096):
+            lists = [self._known(w) for w in words[lo : lo + 4096]]
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            sums = np.add.reduceat(self._logs[np.fromiter(chain.from_iterable(lists), np.int64)], np.cumsum(n) - n)
+            out[lo : lo + len(lists)] = sums / n[:, None]
+
     def _learn(self, words: set[str]) -> None:
         """Make rows for new words; when there are too many, those of other texts than these go."""
         if len(self._rows) > _WORDS_KEPT:
@@ -116,11 +124,7 @@ class Scorer:
             bigger = np.zeros((2 * (start + len(new)), len(self.model.languages)))
             bigger[:start] = self._matrix[:start]
             self._matrix = bigger
-        for lo in range(0, len(new), 4096):
-            lists = [self._known(w) for w in new[lo : lo + 4096]]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            sums = np.add.reduceat(self._logs[np.fromiter(chain.from_iterable(lists), np.int64)], np.cumsum(n) - n)
-            self._matrix[start + lo : start + lo + len(lists)] = sums / n[:, None]
+        self.fill(new, self._matrix[start : start + len(new)])
         self._rows.update(zip(new, range(start, start + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -67,12 +67,17 @@ class ToxicityModel:
 
 
 class Scorer:
-    """Raw scores of whole texts; remembers the vectors of words seen lately."""
+    """Raw scores and languages of whole texts; remembers the vectors of words seen lately.
+
+    A word's vector is what it adds to the filters, then its logs by language, so that one look-up serves both."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
+        self._tongue = langid.Scorer(model.language)
+        self._languages = model.language.languages
+        self._width = model.table.shape[1]
         self._rows: dict[str, int] = {}
-        self._vectors = np.zeros((1, model.table.shape[1]), np.float32)  # row 0: no word
+        self._vectors = np.zeros((1, self._width + len(self._languages)), np.float32)  # row 0: no word
 
     def _learn(self, words: set[str]) -> None:
         """Make vectors for new words; when there are too many, those of other texts than these go."""
@@ -86,25 +91,32 @@ class Scorer:
             bigger = np.zeros((min(2 * end, max(end, _WORDS_KEPT + 20_000)), self._vectors.shape[1]), np.float32)
             bigger[:start] = self._vectors[:start]
             self._vectors = bigger
-        _summed(self.model.table, new, self.model.buckets, self._vectors[start:end])
+        _summed(self.model.table, new, self.model.buckets, self._vectors[start:end, : self._width])
+        if self._languages:
+            self._tongue.fill(new, self._vectors[start:end, self._width :])
+            odd = [i for i, w in enumerate(new, start=start) if not w.isalpha()]
+            self._vectors[odd, self._width :] = 0  # only words of letters tell a language
         self._rows.update(zip(new, range(start, end), strict=True))
 
-    def logits(self, texts: list[str | None]) -> list[float]:
+    def score(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """(raw score, language) of each text; the language is "" where the text tells none."""
         out = []
         for lo in range(0, len(texts), 256):
             part = [_WORD.findall((t or "").lower()) for t in texts[lo : lo + 256]]
             self._learn(set().union(*part))
-            out += [self._logit(np.fromiter(map(self._rows.__getitem__, ws), np.int32, len(ws))) for ws in part]
+            out += [self._scored(np.fromiter(map(self._rows.__getitem__, ws), np.int32, len(ws))) for ws in part]
         return out
 
-    def _logit(self, words: np.ndarray) -> float:
+    def _scored(self, words: np.ndarray) -> tuple[float, str]:
         m = self.model
         filters = len(m.bias) // len(m.widths)
         most = np.full(len(m.bias), -np.inf, np.float32)
+        spoken = np.zeros(len(self._languages))
         pad = max(m.widths) - 1
         words = np.concatenate([words, np.zeros(max(1, pad), np.int32)])
         for lo in range(0, len(words) - pad, _PASS):
             x = self._vectors[words[lo : lo + _PASS + pad]]
+            spoken += x[:_PASS, self._width :].sum(0)
             place = 0
             for i, w in enumerate(m.widths):
                 n = len(x) - w + 1
@@ -114,7 +126,8 @@ class Scorer:
                 own = most[i * filters : (i + 1) * filters]
                 np.maximum(own, act.max(0), out=own)
                 place += w * filters
-        return float(np.maximum(most + m.bias, 0) @ m.out + m.out_bias)
+        language = self._languages[int(spoken.argmax())] if spoken.any() else ""
+        return float(np.maximum(most + m.bias, 0) @ m.out + m.out_bias), language
 
 
 def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
@@ -248,9 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     del words, names
     model = ToxicityModel(buckets, widths, table, bias, out, out_bias, {}, tongue)
     judged = np.flatnonzero(held) if held.any() else learn
-    logits = np.array(Scorer(model).logits([rows["text"][i] for i in judged]))
-    scorer = langid.Scorer(tongue)
-    spoken = np.array([x for x, _ in scorer.predict([rows["text"][i] for i in judged])])
+    found = Scorer(model).score([rows["text"][i] for i in judged])
+    logits, spoken = np.array([x for x, _ in found]), np.array([x for _, x in found])
     model.calibration[""] = _calibrate(logits, y[judged])
     for name in sorted(set(spoken.tolist())):
         own = spoken == name
@@ -271,15 +283,13 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        tongue, scorer = langid.Scorer(m.language), Scorer(m)
+        scorer = Scorer(m)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            spoken = tongue.predict(texts) if len(m.calibration) > 1 else [("", 0.0)] * len(texts)
-            shifts = [m.calibration.get(x, m.calibration[""]) for x, _ in spoken]
-            raw = np.clip(np.array(scorer.logits(texts)) - np.array(shifts), -500, 500)
-            found = 1 / (1 + np.exp(-raw))
+            scored = scorer.score(batch.column("__text").to_pylist())
+            raw = np.array([x - m.calibration.get(spoken, m.calibration[""]) for x, spoken in scored])
+            found = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
-        del tongue, scorer
+        del scorer
         release()
 
     return src.mapInArrow(run, schema)

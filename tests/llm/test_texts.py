@@ -95,11 +95,13 @@ def test_toxicity_of_odd_tables(spark):
 
 def test_long_texts_pool_over_all_passes(monkeypatch):
     rng = np.random.default_rng(0)
-    model = toxicity.ToxicityModel(64, (1, 2, 3), rng.normal(size=(64, 12)).astype(np.float32), np.zeros(6, np.float32), np.ones(6, np.float32), 0.0, {}, None)
-    text = " ".join(f"w{i}" for i in range(1000))
-    whole = toxicity.Scorer(model).logits([text])
+    tongue = langid.LanguageModel(["aa", "bb"], {"two": 0}, {}, np.log([[0.2, 0.8]]), 3)
+    model = toxicity.ToxicityModel(64, (1, 2, 3), rng.normal(size=(64, 12)).astype(np.float32), np.zeros(6, np.float32), np.ones(6, np.float32), 0.0, {}, tongue)
+    text = " ".join(f"w{i} two" for i in range(1000))
+    ((whole, spoken),) = toxicity.Scorer(model).score([text])
     monkeypatch.setattr(toxicity, "_PASS", 7)
-    assert np.allclose(toxicity.Scorer(model).logits([text]), whole)
+    ((cut, same),) = toxicity.Scorer(model).score([text])
+    assert np.isclose(whole, cut) and spoken == same == "bb"
 
 
 def test_licenses_against_containment(spark):
