@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, companding
-from ..sources import container
+from ..sources import container, host
 from . import modes
 from .registry import query, table
 
@@ -172,3 +172,40 @@ def duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     kbps = F.when(F.col("l_linenumber") % 3 == 0, 0).otherwise(F.col("l_linenumber"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", size.alias("data_size"), (F.round(modes.duration_seconds(size, kbps), 6) + F.lit(0.0)).alias("seconds"))
     return rows.groupBy("l_orderkey", "l_linenumber", "data_size", "seconds").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '\\.[^.]*$', ''), ''), 'track') || CASE WHEN page_id % 3 > 0 THEN '.' || (page_id % 3)::VARCHAR ELSE '' END || '.bin' AS name FROM pages""")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", host.output_name(F.col("url"), F.col("page_id") % 3, "bin").alias("name"))
+
+
+@query(f"""WITH {_MODES}, {_REQUESTS}, asked AS (SELECT DISTINCT rate, kbps, channels FROM req),
+w AS (SELECT *, CASE WHEN rate >= 32000 THEN 44 WHEN rate >= 18000 THEN 22 WHEN rate >= 14000 THEN 16 WHEN rate >= 10000 THEN 11 ELSE 8 END AS class, least(greatest(channels, 1), 2) AS ch FROM asked)
+SELECT w.rate, kbps, channels, coalesce(max(kbps_ch * ch) FILTER (kbps_ch * ch <= kbps), min(kbps_ch * ch))::INTEGER AS preselected FROM w JOIN modes ON rate_class = class GROUP BY ALL""")
+def preselected_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _requests(spark, sf_dir).distinct()
+    return asked.select("rate", "kbps", "channels", host.preselected_kbps(F.col("rate"), F.col("channels"), F.col("kbps")).alias("preselected"))
+
+
+@query(f"WITH {_DOC} SELECT file, name = 'T' || file::VARCHAR AS same FROM f")
+def tag_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = container.pivot_tags(container.exploded(container.parse(_files(spark, sf_dir))))
+    right = left.withColumn("title", F.concat(F.lit("T"), F.col("file").cast("string")))
+    return host.same_tags(left, right)
+
+
+@query("""WITH f AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'no data marker' WHEN doc_id % 11 = 0 THEN 'no container' END AS error FROM documents)
+SELECT lang, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS failed, array_to_string(list_sort(list_distinct(list(error) FILTER (error IS NOT NULL))), ', ') AS errors FROM f GROUP BY lang""")
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    cut = F.expr("substring(content, 1, length(content) - 6)")
+    content = F.when(F.col("file") % 7 == 0, cut).when(F.col("file") % 11 == 0, F.lit(b"XXXX")).otherwise(F.col("content"))
+    parsed = container.parse(files.withColumn("content", content))
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "lang")
+    out = host.batch_result(parsed.select("file", "error").join(lang, "file"), "lang")
+    return out.select("lang", "ok", "failed", F.array_join("errors", ", ").alias("errors"))
+
+
+@query(f"WITH {_DOC} SELECT file, (20 + 8 * 8 + 12 + strlen(name) + strlen(source) + strlen(lang) + 2 + 2 + strlen(file::VARCHAR) + 4)::BIGINT AS header_bytes FROM f")
+def header_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container.parse(_files(spark, sf_dir)).select("file", F.col("data_offset").cast("long").alias("header_bytes"))
