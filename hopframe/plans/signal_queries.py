@@ -32,12 +32,12 @@ def frame_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sig", "frame", "n", rounded("rms"))
 
 
-@query(_SIG + "SELECT sig, i // 32 AS frame, (i % 32 // 8)::INTEGER AS band, round(sum(x * x), 6) + 0.0 AS energy FROM sig GROUP BY ALL")
+@query(_SIG + "SELECT sig, i // 32 AS frame, (i % 32 // 8)::INTEGER AS band, round(sum(x * x), 8) + 0.0 AS energy FROM sig GROUP BY ALL")
 def band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, place = framing.hop(N)
     rows = _signal(spark, sf_dir).select("sig", frame, place, "x")
     band = F.call_function("div", F.col("p"), F.lit(8)).cast("int").alias("band")
-    return rows.groupBy("sig", "frame", band).agg(F.sum(F.col("x") * F.col("x")).alias("energy")).select("sig", "frame", "band", rounded("energy"))
+    return rows.groupBy("sig", "frame", band).agg(F.sum(F.col("x") * F.col("x")).alias("energy")).select("sig", "frame", "band", rounded("energy", 8))
 
 
 @query(_SIG + f"SELECT sig, n_samples, n_frames, pad, ((n_frames * {FRAME_BITS} + 7) // 8)::BIGINT AS data_bytes FROM (SELECT sig, count(*) AS n_samples, ((count(*) + 31) // 32 + 2)::BIGINT AS n_frames, ((count(*) + 31) // 32 * 32 - count(*))::BIGINT AS pad FROM sig GROUP BY sig)")
@@ -65,18 +65,18 @@ def channel_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resampled_sql(up: int, down: int) -> str:
     return _SIG + f""", n AS (SELECT sig, count(*) AS n, (count(*) * {2 * up} + {down}) // {2 * down} AS m FROM sig GROUP BY sig),
 j AS (SELECT sig, n, unnest(range(m)) AS j FROM n), g AS (SELECT sig, j, least(j * {down} // {up}, n - 1) AS i0, least(j * {down} // {up} + 1, n - 1) AS i1 FROM j)
-SELECT g.sig, g.j::BIGINT AS i, round(a.x + (b.x - a.x) * (g.j * {down} / {up}::DOUBLE - g.i0), 6) + 0.0 AS x
+SELECT g.sig, g.j::BIGINT AS i, round(a.x + (b.x - a.x) * (g.j * {down} / {up}::DOUBLE - g.i0), 9) + 0.0 AS x
 FROM g JOIN sig a ON a.sig = g.sig AND a.i = g.i0 JOIN sig b ON b.sig = g.sig AND b.i = g.i1"""
 
 
 @query(_resampled_sql(3, 4))
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.resample_linear(_signal(spark, sf_dir), 3, 4).select("sig", "i", rounded("x"))
+    return framing.resample_linear(_signal(spark, sf_dir), 3, 4).select("sig", "i", rounded("x", 9))
 
 
 @query(_resampled_sql(160, 147))
 def resample_linear_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.resample_linear(_signal(spark, sf_dir), 160, 147).select("sig", "i", rounded("x"))
+    return framing.resample_linear(_signal(spark, sf_dir), 160, 147).select("sig", "i", rounded("x", 9))
 
 
 @query(_BLOCKS + "SELECT sig, frame, p, round(x, 6) + 0.0 AS x FROM tapered")
@@ -117,10 +117,10 @@ ac AS (SELECT fr.sig, fr.frame, ks.lag, coalesce(sum(a.x * b.x), 0) AS r FROM fr
 r AS (SELECT sig, frame, lag, CASE WHEN lag = 0 THEN greatest(r * 1.0001, 1e-8) ELSE r END AS r FROM ac)"""
 
 
-@query(_LAGS + "SELECT sig, frame, lag, round(r, 6) + 0.0 AS r FROM r")
+@query(_LAGS + "SELECT sig, frame, lag, round(r, 8) + 0.0 AS r FROM r")
 def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lpc.lags(framing.hop_arrays(_signal(spark, sf_dir), N), N, 8)
-    return rows.select("sig", "frame", F.posexplode("x").alias("lag", "r")).select("sig", "frame", "lag", rounded("r"))
+    return rows.select("sig", "frame", F.posexplode("x").alias("lag", "r")).select("sig", "frame", "lag", rounded("r", 8))
 
 
 def _levinson_sql(order: int) -> str:
