@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bound_batches, release
+from ._runtime import BATCH_ROWS, bound_batches, release
 
-#: Encoded words of one generation (a worker keeps two: hot words move to the new one), and token pairs.
-_CHUNKS_KEPT, _PAIRS_KEPT = 200_000, 500_000
+#: Encoded words of one generation (a worker keeps two: hot words move to the new one), and token pairs. Where ids are
+#: returned, and memory goes to them, words and batches are fewer.
+_CHUNKS_KEPT, _CHUNKS_KEPT_WITH_IDS, _PAIRS_KEPT = 200_000, 60_000, 500_000
+_BATCH_WITH_IDS = 512
 #: What str.split() takes for white space and the files' pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -157,7 +159,7 @@ class TrieBpe:
     def encode_batch(self, texts: list[str], decoded: bool = True) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text; without decoded, "" for it."""
         pieces = [[c for c in p if c != ""] if "" in p else p for p in map(self._pieces, texts)]
-        if len(self._ids) >= _CHUNKS_KEPT:
+        if len(self._ids) >= (_CHUNKS_KEPT if decoded else _CHUNKS_KEPT_WITH_IDS):
             self._older, self._ids, self._strings = (self._ids, self._strings), {}, {}
         known, strings = self._ids, self._strings
         new = set().union(*pieces).difference(strings if decoded else known)
@@ -204,7 +206,7 @@ def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "d
 
 
 def _apply(docs: DataFrame, path: str, text_col: str, id_col: str, ids: bool) -> DataFrame:
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, _BATCH_WITH_IDS if ids else BATCH_ROWS)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

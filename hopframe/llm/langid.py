@@ -9,15 +9,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import bound_batches, release
 
+if TYPE_CHECKING:  # workers need no pandas
+    import pandas as pd
+
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORDS_KEPT = 100_000

@@ -159,8 +159,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
 
 
 def shuffled(mixed: DataFrame, n_shards: int = 64) -> DataFrame:
-    """The mix itself: a row for each draw, in one partition for each shard or so, sorted by shard and shuffled within;
+    """The mix itself: a row for each draw, in one partition for each shard, shuffled within it;
     adds shard and place, drops what mix() added."""
     out = mixed.withColumn("__d", F.explode("mix_draws")).drop("mix_size", "mix_source_size", "mix_target", "mix_draws")
     out = out.withColumns({"shard": F.col("__d.shard"), "place": F.col("__d.place")}).drop("__d")
-    return out.repartitionByRange(n_shards, "shard", "place").sortWithinPartitions("shard", "place")
+    return out.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "place")
