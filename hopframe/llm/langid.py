@@ -138,7 +138,8 @@ class Scorer:
             if self.model.languages:
                 self._learn(set().union(*counted))
             for words in counted:
-                if not words or not self.model.languages:
+                # the pattern also takes numerals such as one half, which are no letters
+                if not self.model.languages or not any(c.isalpha() for w in words for c in w):
                     out.append((UNKNOWN, 0.0))
                     continue
                 rows = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
