@@ -81,6 +81,8 @@ def _collected(counted: DataFrame, max_words: int, max_grams: int, longest: int)
     kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)).drop("place").toArrow().to_pandas()
     languages = sorted(kept["lang"].unique())
     (words, grams), logs = _tables(kept, languages)
+    del kept
+    release()
     return LanguageModel(languages, words, grams, logs, longest)
 
 

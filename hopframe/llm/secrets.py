@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._runtime import release
+
 #: Published forms of credentials, tried in this order.
 RULES: tuple[tuple[str, str], ...] = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
@@ -151,7 +153,10 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 7) ->
         raise ValueError("findings of both labels are needed")
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("label", "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(table)
-    return SecretModel([_parse(t.toDebugString.rstrip().split("\n")[1:])[0] for t in forest.trees])
+    model = SecretModel([_parse(t.toDebugString.rstrip().split("\n")[1:])[0] for t in forest.trees])
+    del forest, table
+    release()
+    return model
 
 
 def _votes(tree, columns: list[Column]) -> Column:
