@@ -14,10 +14,35 @@ from pyspark.sql import functions as F
 from ._runtime import materialize
 from .components import connected_components
 from .minmax import _in_blocks, _local_roots
-from .pivots import choose_pivots, nearest_pivots, usable
+from .pivots import nearest_pivots, sampled, spread_out, usable
 
 #: Vectors of a block; longer lists are compared by pairs of blocks.
 BLOCK = 1024
+#: Share of a sample's links that the lists may miss, and vectors of that sample.
+MISSED, JUDGED = 1e-3, 2048
+
+
+def _fitting(x: np.ndarray, whole: bool, pivots: np.ndarray, cosine: float, depth: int, shared: int) -> tuple[np.ndarray, int, int]:
+    """Pivots, depth and shared whose lists find the links among the unit vectors x.
+
+    Where vectors lie in a cone, those that link may have other nearest pivots. Then lists get deeper, and where deeper
+    ones would cost more than all pairs, a single pivot's list holds all vectors. No link may go if x is the whole table;
+    else as many as MISSED explains.
+    """
+    x = x[:JUDGED]
+    linked = np.triu(x @ x.T >= cosine, 1)
+    total = linked.sum() * MISSED
+    allowed = 0 if whole and len(x) < JUDGED else total + 3 * np.sqrt(total) + 1
+    while True:
+        depth = min(depth, len(pivots))
+        shared = min(shared, depth)
+        has = np.zeros((len(x), len(pivots)), np.float32)
+        np.put_along_axis(has, nearest_pivots(x, pivots, depth), 1, axis=1)
+        if (linked & (has @ has.T < shared)).sum() <= allowed:
+            return pivots, depth, shared
+        if 4 * depth * depth > len(pivots):
+            return pivots[:1], 1, 1
+        depth *= 2
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, depth: int = 10, shared: int = 2, n_pivots: int | None = None) -> DataFrame:
@@ -25,7 +50,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Vectors of equal, non-null labels link when the cosine of the original vectors, in double precision, is at least
     the limit. Candidates have at least shared of their depth nearest pivots in common (two vectors with a cosine of
-    0.93 in 64 dimensions do in over 99.9 % of cases); a pair is judged in the list of the smallest pivot that they
+    0.93 in 64 dimensions do in over 99.9 % of cases; where a sample shows that they do not, lists get deeper or hold all
+    vectors, and of fewer pivots than shared all are enough); a pair is judged in the list of the smallest pivot that they
     share. Equal vectors become one class first, weighted by its size. Lists are cut into blocks and compared by pairs of
     blocks; links are counted and joined where they are found, never written out pair by pair.
     The number of pivots grows with the square root of the rows, so that lists grow as slowly.
@@ -39,11 +65,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # -0.0 and 0.0 are one value; groupBy and join treat them so
     classes = materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "vectors")
     rows = classes.count()
-    pivots = choose_pivots(classes, "rep", "v", n_pivots or int(min(4096, max(32, 2 ** round(np.log2(max(1, rows)) / 2)))))
-    if not len(pivots):
+    n_pivots = n_pivots or int(min(4096, max(32, 2 ** round(np.log2(max(1, rows)) / 2))))
+    sample = sampled(classes, "rep", "v", n_pivots)
+    if not len(sample):
         return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = pivots.shape[1]
-    depth, n_pivots = min(depth, len(pivots)), len(pivots)
+    dim = sample.shape[1]
+    pivots, depth, shared = _fitting(sample, rows <= 4 * n_pivots, spread_out(sample, n_pivots), cosine, depth, shared)
+    n_pivots = len(pivots)
     at = spark.sparkContext.broadcast(pivots)  # at most 4096 vectors
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,12 +16,9 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int, apart: float = 0.9, seed: int = 3) -> np.ndarray:
-    """At most n unit vectors, greedily from a hash-chosen sample of 4n rows so that no two have a cosine over apart.
-
-    The sample is the rows with the smallest (hash of id, id); vectors of a length that is not the sample's commonest are
-    left out. An empty table gives an array without rows.
-    """
+def sampled(vectors: DataFrame, id_col: str, vec_col: str, n: int, seed: int = 3) -> np.ndarray:
+    """A hash-chosen sample of 4n rows as unit vectors: the rows with the smallest (hash of id, id); vectors of a length
+    that is not the sample's commonest are left out. An empty table gives an array without rows."""
     order = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = vectors.select(order.alias("h"), F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v")).orderBy("h", "i").limit(4 * n).collect()
     if not rows:
@@ -29,7 +26,11 @@ def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int, apart:
     lengths = [len(r["v"]) for r in rows]
     dim = max(sorted(set(lengths)), key=lengths.count)
     x = np.array([r["v"] for r in rows if len(r["v"]) == dim])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def spread_out(x: np.ndarray, n: int, apart: float = 0.9) -> np.ndarray:
+    """At most n of the rows of x, greedily so that no two have a cosine over apart."""
     kept: list[int] = []
     for i in range(len(x)):
         if len(kept) == n:
@@ -39,6 +40,11 @@ def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int, apart:
     return x[kept]
 
 
+def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int, apart: float = 0.9, seed: int = 3) -> np.ndarray:
+    """At most n unit vectors, no two with a cosine over apart, from sampled()'s rows."""
+    return spread_out(sampled(vectors, id_col, vec_col, n, seed), n, apart)
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """For each row, the indices of its depth nearest pivots by angle, nearest first; ties to the smaller index."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)

@@ -124,6 +124,20 @@ def test_vectors(spark, monkeypatch, block):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (degree[i], roots[i], roots[i] == i) for i in roots}
 
 
+@pytest.mark.parametrize(("n", "spread"), [(2, 0.03), (300, 0.02), (300, 0.035), (300, 0.05), (900, 0.05)])
+def test_vectors_in_a_cone(spark, n, spread):
+    rng = np.random.default_rng(n)
+    x = 1 / 8 + rng.normal(size=(n, 64)) * spread
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T
+    links = [(a, b) for a in range(n) for b in range(a) if near[a, b] >= 0.93]
+    roots = _roots(range(n), links)
+    degree = np.bincount(np.array(links).reshape(-1), minlength=n)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_duplicates(df).collect()}
+    assert links and got == {i: (degree[i], roots[i]) for i in range(n)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None, 0), (2, [0.0], 0)], "vec_id long, embedding array<float>, label int")
     assert sorted(tuple(r) for r in embdedup.near_duplicates(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
