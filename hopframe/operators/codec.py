@@ -2,7 +2,7 @@
 
 Codebooks are input tables (name, code, dim, value). Names: main0_F and main1_F for frame type F in short, medium, long and
 pitch, bark_F and widths_F for the first three, and lsp0 (history weights), lsp1, lsp2. A frame needs the codes of the
-frame before it and no more, so frames are joined with their predecessors and mapped; no signal is walked through.
+frame before it and of the last one of its type, so frames are put beside those and mapped; no signal is walked through.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import BitReader, BitWriter
@@ -237,10 +237,13 @@ class Codec:
                 bands[kind][c] = self.bands(kind, f["bark"][last - coefs : last])
         return raw, bands
 
-    def decode(self, codes: list[int], before: list[int] | None) -> np.ndarray:
-        """Spectrum (channels x n) of a frame. Band history is that of the frame before, if it is of the same type."""
+    def decode(self, codes: list[int], before: list[int] | None, same: list[int] | None = None) -> np.ndarray:
+        """Spectrum (channels x n) of a frame. Band history is that of same, the last frame of the same type; without it,
+        that of the frame before, if it is of the same type."""
         lay, f, kind = self.layout, self.layout.named(codes), TYPE_OF_WINDOW[codes[0]]
         old_raw, old_bands = self.state(before)
+        if same is not None:
+            old_bands = self.state(same)[1]
         sub, _, coefs, _, _ = lay.form[kind]
         size = lay.n // sub
         out = self.dequantize(kind, f["main"]).reshape(lay.channels, lay.n)
@@ -355,8 +358,12 @@ def encode_frames(blocks: DataFrame, codec: Codec) -> DataFrame:
 
 
 def decode_frames(frames: DataFrame, codec: Codec) -> DataFrame:
-    """(sig, frame, x array of channels * n) of codes."""
-    return _mapped(_with_before(frames, "codes"), "x array<double>", lambda codes, before: codec.decode(codes, before).reshape(-1).tolist())
+    """(sig, frame, x array of channels * n) of codes. History is that of the last frame there is, and for bands that of
+    the last one of the same type; frames that are left out change none."""
+    kind = F.element_at(F.array(*map(F.lit, TYPE_OF_WINDOW)), F.col("codes")[0] + 1)
+    last = lambda *keys: F.lag("codes").over(Window.partitionBy("sig", *keys).orderBy("frame"))
+    beside = frames.select("sig", "frame", "codes", last().alias("before"), last(kind).alias("same"))
+    return _mapped(beside, "x array<double>", lambda codes, before, same: codec.decode(codes, before, same).reshape(-1).tolist())
 
 
 def pack_frames(frames: DataFrame, layout: Layout) -> DataFrame:
