@@ -37,6 +37,8 @@ DICTIONARY = (
 )
 FEATURES = ("length", "changes", "vowel_pairs", "digits", "capitals", "distinct", "coverage", "rule", "assigned", "keyword", "placeholder", "digest", "in_path", "test_path", "word_like", "hex")
 MASK = "[SECRET]"
+#: Characters before and after a place that are its surroundings.
+BEFORE, AFTER = 48, 24
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -166,29 +168,55 @@ def _votes(tree, columns: list[Column]) -> Column:
     return F.when(columns[feature] <= threshold, _votes(left, columns)).otherwise(_votes(right, columns))
 
 
+def _places(text: Column, value: Column) -> Column:
+    """array<struct(tail, head)>: the last and first characters of each part of the text between the value's places."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.transform(F.split(text, quoted), lambda p: F.struct(F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(AFTER)).alias("head")))
+
+
+def _contexts(c: Column) -> Column:
+    """array<string>: the distinct surroundings of a value's places, as two digits for the length of what is before, that,
+    and what is after. (Spark finds distinct strings by hash, distinct structs by pairs.)"""
+    # a candidate has 6 characters at least, so that so many parts with the value between them are long enough
+    n, m = BEFORE // 6 + 1, AFTER // 6 + 1
+
+    def told(_: Column, i: Column) -> Column:
+        tails = F.slice(c["parts"], F.greatest(i + 2 - n, F.lit(1)), F.least(i + 1, F.lit(n)))
+        before = F.right(F.call_function("array_join", F.transform(tails, lambda p: p["tail"]), c["value"]), F.lit(BEFORE))
+        after = F.left(F.call_function("array_join", F.transform(F.slice(c["parts"], i + 2, F.lit(m)), lambda p: p["head"]), c["value"]), F.lit(AFTER))
+        return F.concat(F.lpad(F.length(before).cast("string"), 2, "0"), before, after)
+
+    return F.array_distinct(F.transform(F.slice(c["parts"], F.lit(1), F.size(c["parts"]) - 1), told))
+
+
 def _findings(model: SecretModel, text: Column, path: Column) -> Column:
-    """array<struct(value, rule, start, score)>: each distinct candidate of a text, at its first place."""
+    """array<struct(value, rule, start, score)>: each distinct candidate of a text, start at its first place, with the
+    largest score of all its places."""
     pattern = "|".join(p for _, p in RULES)
     values = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(ASSIGNED), 1), F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), 0)))
-    at = F.transform(values, lambda v: F.struct(v.alias("value"), F.call_function("instr", text, v).alias("start")))
-    near = lambda c: F.struct(
-        c["value"].alias("value"), c["start"].alias("start"),
-        F.substr(text, F.greatest(c["start"] - 48, F.lit(1)), F.least(c["start"] - 1, F.lit(48))).alias("before"),
-        F.substr(text, c["start"] + F.length(c["value"]), F.lit(24)).alias("after"),
-    )
-    told = lambda c: F.struct(c.alias("c"), F.array(*features(c["value"], c["before"], c["after"], path)).alias("f"))
+    at = F.transform(values, lambda v: F.struct(v.alias("value"), F.call_function("instr", text, v).alias("start"), _places(text, v).alias("parts")))
+    near = lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), _contexts(c).alias("contexts"))
+
+    def told(c: Column) -> Column:
+        size = lambda x: F.substring(x, 1, 2).cast("int")
+        own = lambda x: F.array(*features(c["value"], F.substr(x, F.lit(3), size(x)), F.substr(x, size(x) + 3), path))
+        return F.struct(c.alias("c"), F.transform(c["contexts"], own).alias("places"))
+
+    def score(f: Column) -> Column:
+        columns = [f[i] for i in range(len(FEATURES))]
+        return sum((_votes(t, columns) for t in model.trees), F.lit(0)) / len(model.trees)
 
     def judged(x: Column) -> Column:
-        columns = [x["f"][i] for i in range(len(FEATURES))]
-        score = sum((_votes(t, columns) for t in model.trees), F.lit(0)) / len(model.trees)
-        return F.struct(x["c"]["value"].alias("value"), rule_of(x["c"]["value"]).alias("rule"), x["c"]["start"].cast("long").alias("start"), score.cast("double").alias("score"))
+        most = F.array_max(F.transform(x["places"], score))
+        return F.struct(x["c"]["value"].alias("value"), rule_of(x["c"]["value"]).alias("rule"), x["c"]["start"].cast("long").alias("start"), most.cast("double").alias("score"))
 
     return F.transform(F.transform(F.transform(at, near), told), judged)
 
 
 def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", path_col: str | None = "source", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(doc_id, rule, start, length, occurrences, score, is_secret, value): a row for each distinct candidate of each
-    whole text, start counted from 1 in characters at its first place; score is the share of trees that vote for it.
+    whole text, start counted from 1 in characters at its first place; score is the share of trees that vote for it, the
+    largest of all its places.
 
     Null and empty texts give no row; equal rows give equal rows; a null path is an empty one. Extra columns are ignored.
     """

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from hopframe.llm import bpe, langid, licenses, mixing, queries, secrets, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
@@ -158,6 +160,25 @@ def test_secrets(spark):
     assert np.mean(right) > 0.93
 
 
+def test_secrets_are_judged_at_every_place(spark):
+    model = secrets.fit(secrets.generated_findings(spark, 1500))
+    digest, odd = hashlib.sha256(b"1").hexdigest()[:40], "a\\Qb\\E.c$1\\"
+    told = f'set token = "{digest}" here'
+    texts = [f"commit {digest} merged", f"commit {digest} merged\n" * 30 + told, told + f"\ncommit {digest} merged" * 30, f"{digest} {digest} {digest}", odd * 3 + f"password={odd} {odd}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.scan(docs, model, path_col=None).where(F.col("value") == digest).collect()}
+    assert [found[i].is_secret for i in range(3)] == [False, True, True]
+    assert [(found[i].start, found[i].occurrences) for i in range(3)] == [(8, 1), (8, 31), (14, 31)]
+    clean = [r.text for r in secrets.redact(docs, model, path_col=None).orderBy("doc_id").collect()]
+    assert clean[0] == texts[0] and not any(digest in t for t in clean[1:3])
+    # the surroundings of all places, against cutting them out of the text
+    for text, value in ((texts[1], digest), (texts[3], digest), (texts[4], odd)):
+        row = spark.createDataFrame([(text, value)], "text string, value string").select("value", secrets._places(F.col("text"), F.col("value")).alias("parts"))
+        got = row.select(secrets._contexts(F.struct("value", "parts"))).first()[0]
+        want = {f"{min(m.start(), 48):02}{text[max(0, m.start() - 48) : m.start()]}{text[m.end() :][:24]}" for m in re.finditer(re.escape(value), text)}
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_targets_and_quotas():
     assert mixing.targets([10, 10, 10], [5, 2, 1], 45.0) == [20.0, 50 / 3, 25 / 3]
     assert mixing.targets([1, 100], [5, 1], 200.0) == [2.0, 198.0]
