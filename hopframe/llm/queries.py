@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, licenses, minmax, mixing, secrets, toxicity, warc
+from . import ann, bpe, embdedup, findings, langid, licenses, minmax, mixing, secrets, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -22,7 +22,7 @@ def _fold(folds: int):
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.fit(secrets.generated_findings(spark))
+    model = secrets.fit(findings.known_findings(spark))
     found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
     return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
 
