@@ -53,11 +53,11 @@ def from_pcm16(v: Column) -> Column:
 
 
 def rounded_div(a: Column, b: Column | int) -> Column:
-    """(a + b div 2) div b."""
+    """(a + b div 2) div b; null for a divisor of 0."""
     b = b if isinstance(b, Column) else F.lit(b)
-    return F.call_function("div", a + F.call_function("div", b, F.lit(2)), b)
+    return F.call_function("div", a + F.call_function("div", b, F.lit(2)), F.nullif(b, F.lit(0)))
 
 
 def log2_int(v: Column) -> Column:
-    """Largest n with 2**n <= v, for v >= 1."""
-    return (F.length(F.bin(v)) - 1).cast("int")
+    """Largest n with 2**n <= v; null below 1."""
+    return F.when(v > 0, F.length(F.bin(v)) - 1).cast("int")

@@ -96,7 +96,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     utf8 = lambda c: F.encode(c, "UTF-8")
     channels, kbps = (F.col("doc_id") % 2 + 1), F.col("doc_id") % 5 * 8 + 16
     rate = F.element_at(F.array(F.lit(44_100), F.lit(22_050), F.lit(16_000)), (F.col("doc_id") % 3 + 1).cast("int"))
-    name = F.substring("text", 1, 12)
+    name = F.coalesce("text", F.lit(""))
     chunks = F.array(
         container.chunk("COMM", container.comm_payload(channels, kbps, rate)),
         container.chunk("NAME", utf8(name)), container.chunk("AUTH", utf8(F.col("source"))), container.chunk("GENR", utf8(F.col("lang"))),
@@ -106,7 +106,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("file"), container.header(chunks).alias("content"))
 
 
-_DOC = "f AS (SELECT doc_id AS file, doc_id % 2 + 1 AS channels, doc_id % 5 * 8 + 16 AS kbps, [44100, 22050, 16000][(doc_id % 3 + 1)::INTEGER] AS rate, substring(text, 1, 12) AS name, source, lang, doc_id % 30 AS track, doc_id % 60 + 1960 AS year, n_chars FROM documents)"
+_DOC = "f AS (SELECT doc_id AS file, doc_id % 2 + 1 AS channels, doc_id % 5 * 8 + 16 AS kbps, [44100, 22050, 16000][(doc_id % 3 + 1)::INTEGER] AS rate, coalesce(text, '') AS name, source, lang, doc_id % 30 AS track, doc_id % 60 + 1960 AS year, n_chars FROM documents)"
 _CHUNKS = _DOC + """, c AS (SELECT file, 0 AS chunk_no, 'COMM' AS id, upper(printf('%08x%08x%08x', channels - 1, kbps, CASE rate WHEN 44100 THEN 44 WHEN 22050 THEN 22 ELSE rate // 1000 END)) AS payload FROM f
 UNION ALL SELECT file, 1, 'NAME', hex(encode(name)) FROM f UNION ALL SELECT file, 2, 'AUTH', hex(encode(source)) FROM f UNION ALL SELECT file, 3, 'GENR', hex(encode(lang)) FROM f
 UNION ALL SELECT file, 4, 'TRAC', upper(printf('%04x', track)) FROM f UNION ALL SELECT file, 5, 'YEAR', upper(printf('%04x', year)) FROM f
@@ -119,7 +119,8 @@ def tlv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("file", "chunk_no", "id", F.hex("payload").alias("payload"))
 
 
-@query(f"WITH {_DOC} SELECT file, channels::BIGINT AS channels, kbps::BIGINT AS kbps, rate::BIGINT AS rate, n_chars::BIGINT AS data_size, NULL::VARCHAR AS error FROM f")
+@query(f"""WITH {_MODES}, {_DOC} SELECT file, channels::BIGINT AS channels, kbps::BIGINT AS kbps, rate::BIGINT AS rate, n_chars::BIGINT AS data_size,
+CASE WHEN NOT EXISTS (FROM modes m WHERE m.rate = f.rate AND m.kbps_ch = f.kbps // f.channels) THEN 'mode' END AS error FROM f""")
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.header_fields(container.parse(_files(spark, sf_dir)))
 
@@ -131,7 +132,8 @@ def tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_CHUNKS} SELECT file, 0::INTEGER AS chunk_no, id, payload FROM c WHERE id = 'COMM'
 UNION ALL SELECT file, 1::INTEGER, 'NAME', hex(encode('T' || file::VARCHAR)) FROM f
-UNION ALL SELECT file, 2::INTEGER, 'ALBM', hex(encode(source)) FROM f UNION ALL SELECT file, 3::INTEGER, 'TEST', payload FROM c WHERE id = 'TEST'""")
+UNION ALL SELECT file, 2::INTEGER, 'ALBM', hex(encode(source)) FROM f UNION ALL SELECT file, 3::INTEGER, 'TEST', payload FROM c WHERE id = 'TEST'
+UNION ALL SELECT file, 4::INTEGER, 'DSIZ', payload FROM c WHERE id = 'DSIZ'""")
 def tag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = container.exploded(container.parse(_files(spark, sf_dir)))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("t"), "source")
@@ -160,9 +162,9 @@ def seek_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", bit.alias("bit"), container.seek_offset(bit, F.lit(100)).cast("long").alias("file_offset"))
 
 
-@query("SELECT o_orderkey, ((o_custkey + o_orderkey % 97 // 2) // greatest(o_orderkey % 97, 1))::BIGINT AS ratio, (bit_length(bin(o_orderkey)) // 8 - 1)::INTEGER AS log2 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 97 > 0")
+@query("SELECT o_orderkey, ((o_custkey + o_orderkey % 97 // 2) // nullif(o_orderkey % 97, 0))::BIGINT AS ratio, CASE WHEN o_orderkey > 0 THEN bit_length(bin(o_orderkey)) // 8 - 1 END::INTEGER AS log2 FROM orders")
 def integer_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey > 0 and o_orderkey % 97 > 0")
+    rows = table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", companding.rounded_div(F.col("o_custkey"), F.col("o_orderkey") % 97).alias("ratio"), companding.log2_int(F.col("o_orderkey")).alias("log2"))
 
 
@@ -209,3 +211,30 @@ def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DOC} SELECT file, (20 + 8 * 8 + 12 + strlen(name) + strlen(source) + strlen(lang) + 2 + 2 + strlen(file::VARCHAR) + 4)::BIGINT AS header_bytes FROM f")
 def header_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.parse(_files(spark, sf_dir)).select("file", F.col("data_offset").cast("long").alias("header_bytes"))
+
+
+_TEXT_CHUNK = "CASE WHEN {1} <> '' THEN hex('{0}') || printf('%08x', strlen({1})) || hex(encode({1})) ELSE '' END"
+
+
+@query(f"""WITH {_DOC}, b AS (SELECT file, name, strlen(name) AS size, hex('COMM') || printf('%08x%08x%08x%08x', 12, channels - 1, kbps, CASE rate WHEN 44100 THEN 44 WHEN 22050 THEN 22 ELSE rate // 1000 END)
+  || {_TEXT_CHUNK.format('NAME', 'name')} || {_TEXT_CHUNK.format('GENR', 'lang')} || hex('DSIZ') || printf('%08x%08x', 4, strlen(name)) AS chunks FROM f)
+SELECT file, (20 + length(chunks) // 2 + size)::BIGINT AS n_bytes, sha1(unhex(hex('TWIN97012000') || printf('%08x', length(chunks) // 2) || chunks || hex('DATA') || hex(encode(name)))) AS digest FROM b""")
+def file_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files: format, two tags, the size, and the text as data."""
+    d = table(spark, sf_dir, "documents")
+    rate = F.element_at(F.array(F.lit(44_100), F.lit(22_050), F.lit(16_000)), (F.col("doc_id") % 3 + 1).cast("int"))
+    body = F.coalesce("text", F.lit(""))
+    infos = d.select(F.col("doc_id").alias("file"), (F.col("doc_id") % 2 + 1).alias("channels"), (F.col("doc_id") % 5 * 8 + 16).alias("kbps"), rate.alias("rate"), F.lit(7).alias("data_size"), F.create_map(F.lit("genre"), F.col("lang"), F.lit("title"), body).alias("tags"))
+    files = container.build(container.info_chunks(infos), d.select(F.col("doc_id").alias("file"), F.encode(body, "UTF-8").alias("data")))
+    return files.select("file", F.octet_length("content").cast("long").alias("n_bytes"), F.sha1("content").alias("digest"))
+
+
+@query(f"""WITH {_DOC}, s AS (SELECT file, [371, 512, 743][(file % 3 + 1)::INTEGER]::BIGINT AS frame_bits, hex(encode(name)) AS h, strlen(name) AS size FROM f),
+g AS (SELECT file, h, frame_bits, unnest(range(size * 8 // frame_bits)) AS frame FROM s)
+SELECT file, frame::BIGINT AS frame, frame * frame_bits % 8 AS skip, substring(h, (frame * frame_bits // 8 * 2 + 1)::BIGINT, (((frame * frame_bits + frame_bits + 7) // 8 - frame * frame_bits // 8) * 2)::BIGINT) AS record FROM g""")
+def data_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of files whose data are texts, cut at whole frames."""
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    size = F.element_at(F.array(F.lit(371), F.lit(512), F.lit(743)), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.concat(F.lit(b"TWIN"), body).alias("content"), F.lit(4).alias("data_offset"), F.octet_length(body).alias("data_size"), size.alias("frame_bits"))
+    return container.packets(files).select("file", "frame", "skip", F.hex("record").alias("record"))

@@ -194,6 +194,51 @@ def test_bad_containers_give_errors(spark):
     assert {n: got[n].error for n in ("cut", "magic", "version", "long", "empty", "null")} == {"cut": "no data marker", "magic": "no container", "version": "unknown version", "long": "no data marker", "empty": "no container", "null": "no container"}
 
 
+def test_headers_hold_any_number_of_chunks_and_end_where_they_say(spark):
+    F = container.F
+    many = spark.range(1).select(container.header(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: container.chunk("TEST", F.encode(i.cast("string"), "UTF-8")))).alias("c")).first().c
+    short = many[:12] + (20).to_bytes(4, "big") + many[16:]
+    huge = many[:12] + b"\xff" * 4 + many[16:]
+    rows = [("many", many), ("more", many + b"data" * 9), ("short", short), ("huge", huge)]
+    got = {r.file: r for r in container.parse(spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "file string, content binary")).collect()}
+    assert [c.payload for c in got["many"].chunks] == [b"%d" % i for i in range(1, 701)] and got["more"].data_offset == len(many)
+    assert (got["short"].error, len(got["short"].chunks)) == ("no data marker", 3) and got["huge"].error == "header size"
+
+
+def test_files_are_built_written_read_and_cut(spark, tmp_path):
+    F = container.F
+    infos = spark.createDataFrame([("a/1", 2, 32, 16_000, 5, {"title": "é", "genre": "", "track": "3"}), ("b", 1, 40, 44_100, None, None), ("c", 1, 3, 44_100, 0, {"year": None})], "file string, channels int, kbps int, rate int, data_size int, tags map<string,string>")
+    data = spark.createDataFrame([("a/1", bytearray(range(256)) * 4), ("b", None)], "file string, data binary")
+    files = container.build(container.info_chunks(infos), data)
+    done = {r.name: r for r in container.write(files, str(tmp_path / "out")).collect()}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a_1", "b", "c"]
+    back = container.read(spark, f"file://{tmp_path}/out/*").withColumn("file", F.element_at(F.split("file", "/"), -1))
+    parsed = container.parse(back, keep=("file", "content")).cache()
+    fields = {r.file: r for r in container.header_fields(parsed, keep=("file", "data_offset", "content")).collect()}
+    assert [(r.channels, r.kbps, r.rate, r.data_size, r.error) for _, r in sorted(fields.items())] == [(2, 32, 16_000, 1024, None), (1, 40, 44_100, 0, None), (1, 3, 44_100, 0, "mode")]
+    assert [done[n].n_bytes - fields[f].data_offset for n, f in (("a/1", "a_1"), ("b", "b"))] == [1024, 0]
+    tags = {r.file: r for r in container.pivot_tags(container.exploded(parsed)).collect()}
+    assert (tags["a_1"].title, tags["a_1"].genre, tags["a_1"].track) == ("é", "", "3")
+    cut = container.header_fields(parsed, keep=("file", "data_offset", "content")).withColumn("frame_bits", F.lit(2048 + 3))
+    whole = int.from_bytes(bytes(range(256)) * 4, "big")
+    frames = container.packets(cut).orderBy("frame").collect()
+    assert [r.frame for r in frames] == [0, 1, 2] and {r.file for r in frames} == {"a_1"}
+    for r in frames:
+        got = (int.from_bytes(r.record, "big") >> (len(r.record) * 8 - r.skip - 2051)) & ((1 << 2051) - 1)
+        assert got == (whole >> (8192 - (r.frame + 1) * 2051)) & ((1 << 2051) - 1)
+    assert container.packets(cut.withColumn("data_size", F.lit(None).cast("long"))).count() == 3 and container.write(files.limit(0), str(tmp_path / "none")).collect() == []
+
+
+def test_tags_can_be_stripped(spark):
+    chunks = spark.createDataFrame([("f", 0, "NAME", b"old"), ("f", 1, "COMM", b"1"), ("f", 2, "TEST", b"t"), ("f", 3, "COMM", b"2"), ("g", 0, "DSIZ", b"\0\0\1\0"), ("g", 1, "TRAC", b"1")], "file string, chunk_no int, id string, payload binary")
+    tags = spark.createDataFrame([("f", "NAME", "new"), ("f", "ZZZZ", "x")], "file string, id string, value string")
+    rows = lambda strip: sorted((r.file, r.chunk_no, r.id, bytes(r.payload)) for r in container.upsert_tags(chunks, tags, strip_all=strip).collect())
+    size = [("g", 0, "DSIZ", b"\0\0\1\0")]
+    assert rows(True) == [("f", 0, "COMM", b"2"), ("f", 1, "TEST", b"t"), ("f", 2, "DSIZ", b"\0" * 4), *size]
+    assert rows(False) == [("f", 0, "COMM", b"2"), ("f", 1, "NAME", b"new"), ("f", 2, "TEST", b"t"), ("f", 3, "DSIZ", b"\0" * 4), *size]
+    assert {r.file: r.data_offset for r in container.header_bytes(container.upsert_tags(chunks, tags, strip_all=True)).collect()} == {"f": 20 + 9 + 9 + 12, "g": 32}
+
+
 def test_two_digit_tracks(spark):
     F = container.F
     row = spark.range(1).select(container.tag_value(F.lit("TRCK"), F.lit(b"12")).alias("a"), container.tag_value(F.lit("TRCK"), F.lit(b"12"), compat=True).alias("b"), container.tag_value(F.lit("TRCK"), F.lit(b"\0\7")).alias("c"), container.tag_value(F.lit("YEAR"), F.lit(b"\7\xb5")).alias("d")).first()
