@@ -24,7 +24,7 @@ from ._runtime import BATCH_ROWS, bound_batches, release
 
 #: Encoded words of one generation (a worker keeps two: hot words move to the new one), and token pairs. Where ids are
 #: returned, and memory goes to them, words and batches are fewer.
-_CHUNKS_KEPT, _CHUNKS_KEPT_WITH_IDS, _PAIRS_KEPT = 200_000, 60_000, 500_000
+_CHUNKS_KEPT, _CHUNKS_KEPT_WITH_IDS, _PAIRS_KEPT = 240_000, 60_000, 500_000
 _BATCH_WITH_IDS = 512
 #: What str.split() takes for white space and the files' pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -48,7 +48,8 @@ class TrieBpe:
         self.rank = {(a, b): i for i, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"])}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.ended = {s[: -len(self.end)]: s for s in self.vocab if s.endswith(self.end) and s != self.end}
-        self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.names = np.array([names.get(i) for i in range(max(names) + 1)], object)
         self.longest = max(len(s) for s in self.vocab)
         # the byte-level character of each byte: the vocabulary names the printable ones by themselves
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -56,8 +57,7 @@ class TrieBpe:
         self._rows: dict[str, dict[str, bool]] = {}
         self._n_pairs = 0
         self._ids: dict[str | int, bytes] = {}
-        self._strings: dict[str | int, str] = {}
-        self._older = self._ids, self._strings
+        self._older = self._ids
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE over a short list of symbols."""
@@ -156,37 +156,32 @@ class TrieBpe:
             return [body, mark] if mark else [body]
         return [w for w, _ in self._split(chunk)]
 
-    def encode_batch(self, texts: list[str], decoded: bool = True) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text; without decoded, "" for it."""
+    def encode_batch(self, texts: list[str], kept: int = _CHUNKS_KEPT) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; some kept words' ids are remembered."""
         pieces = [[c for c in p if c != ""] if "" in p else p for p in map(self._pieces, texts)]
-        if len(self._ids) >= (_CHUNKS_KEPT if decoded else _CHUNKS_KEPT_WITH_IDS):
-            self._older, self._ids, self._strings = (self._ids, self._strings), {}, {}
-        known, strings = self._ids, self._strings
-        new = set().union(*pieces).difference(strings if decoded else known)
-        for c in new.intersection(self._older[1 if decoded else 0]):
-            known[c] = self._older[0][c]
-            if decoded:
-                strings[c] = self._older[1][c]
-        split = {c: self._words(c) for c in new if c not in (strings if decoded else known)}
+        if len(self._ids) >= kept:
+            self._older, self._ids = self._ids, {}
+        known, older, vocab = self._ids, self._older, self.vocab
+        new = set().union(*pieces).difference(known)
+        for c in new.intersection(older):
+            known[c] = older[c]
+        split = {c: self._words(c) for c in new if c not in known}
         encoded = self.encode_words({w for ws in split.values() for w in ws})
-        vocab = self.vocab
         for c, ws in split.items():
-            tokens = [t for w in ws for t in encoded[w]] if isinstance(c, str) else [self.names[c]]
-            known[c] = array("I", [vocab[t] for t in tokens] if isinstance(c, str) else [c]).tobytes()
-            if decoded:
-                strings[c] = " ".join(tokens)
-        if not decoded:
-            return [(b"".join(map(known.__getitem__, p)), "") for p in pieces]
-        return [(b"".join(map(known.__getitem__, p)), " ".join(map(strings.__getitem__, p))) for p in pieces]
+            known[c] = array("I", [vocab[t] for w in ws for t in encoded[w]] if isinstance(c, str) else [c]).tobytes()
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     def forget(self) -> None:
         """Drop the words seen so far; what is known of token pairs stays."""
-        self._ids, self._strings = {}, {}
-        self._older = self._ids, self._strings
+        self._ids = {}
+        self._older = self._ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens' strings with a blank between two; unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """The tokens' strings with a blank between two; ids that are no token's are left out."""
+        ids = np.asarray(ids, np.int64)
+        inside = (ids >= 0) & (ids < len(self.names))
+        found = self.names[ids if inside.all() else ids[inside]].tolist()
+        return " ".join(found if None not in found else [x for x in found if x is not None])
 
 
 @cache
@@ -197,32 +192,53 @@ def load(path: str) -> TrieBpe:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids array<int>, n_tokens) of each row's whole text; null is an empty text. path must exist on every worker."""
-    return _apply(docs, path, text_col, id_col, ids=True)
+    return _encoded(docs, path, text_col, id_col, "doc_id long, ids array<int>, n_tokens long")
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids array<int>, n_tokens, decoded_sha256): as encode(), and the hash of what the ids decode to."""
+    return _encoded(docs, path, text_col, id_col, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): as encode(), then decoded, with hashes in place of both."""
-    return _apply(docs, path, text_col, id_col, ids=False)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): round_trip() with a hash in place of the ids."""
+    return _encoded(docs, path, text_col, id_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _apply(docs: DataFrame, path: str, text_col: str, id_col: str, ids: bool) -> DataFrame:
-    bound_batches(docs.sparkSession, _BATCH_WITH_IDS if ids else BATCH_ROWS)
+def _encoded(docs: DataFrame, path: str, text_col: str, id_col: str, schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+    with_ids = "ids" in names
+    bound_batches(docs.sparkSession, _BATCH_WITH_IDS if with_ids else BATCH_ROWS)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        make = {
+            "ids": lambda ids: pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
+            "n_tokens": lambda ids: pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids_sha256": lambda ids: pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": lambda ids: pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in ids], pa.string()),
+        }
         for batch in batches:
-            got = bpe.encode_batch(batch.column("text").to_pylist(), decoded=not ids)
-            n = pa.array([len(x) // 4 for x, _ in got], pa.int64())
-            if ids:
-                out = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in got], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out, n], names=["doc_id", "ids", "n_tokens"])
-            else:
-                one = pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string())
-                two = pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in got], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, one, two], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = bpe.encode_batch(batch.column("text").to_pylist(), _CHUNKS_KEPT_WITH_IDS if with_ids else _CHUNKS_KEPT)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[make[n](ids) for n in names[1:]]], names=names)
         bpe.forget()
         release()
 
-    schema = "doc_id long, ids array<int>, n_tokens long" if ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return src.mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text) of rows of ids: their tokens' strings with a blank between two, special ones too. Null and empty ids
+    give an empty text; a null among ids, or one that is no token's, is left out."""
+    bound_batches(encoded.sparkSession, _BATCH_WITH_IDS)
+    src = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.array_compact(F.coalesce(F.col(ids_col), F.array())).cast("array<long>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        release()
+
+    return src.mapInArrow(run, "doc_id long, text string")

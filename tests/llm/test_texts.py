@@ -24,21 +24,34 @@ def test_bpe_is_the_librarys(spark):
     texts = ["", " ", "<|endoftext|>", "a<|startoftext|>B<|endoftext|>c", "<|ENDOFTEXT|>", "x" * 5000, "don't I'LL 's", "a\x1cB", " x", "é é İ", "u\x7f ġ"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 90))) for _ in range(800)]
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
-    for text, (ids, decoded) in zip(texts, own.encode_batch(texts), strict=True):
+    for text, ids in zip(texts, own.encode_batch(texts), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want)
+        assert own.decode(want) == library.decode(want, skip_special_tokens=False)
+    odd = [rng.randrange(60_000) for _ in range(5000)]
+    assert own.decode(odd) == library.decode(odd, skip_special_tokens=False) and own.decode([-1, 10**9]) == own.decode([]) == ""
+
+
+def test_bpe_query_is_the_library_on_all_rows(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_file())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op3_bpe_round_trip(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
 def test_bpe_caches_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "_CHUNKS_KEPT", 5)
     monkeypatch.setattr(bpe, "_PAIRS_KEPT", 3)
     own, other = bpe.TrieBpe(queries.tokenizer_file()), bpe.TrieBpe(queries.tokenizer_file())
     texts = [f"word{i % 7} and other{i} words, of all. Kinds" for i in range(40)]
     want = other.encode_batch(texts)
     for k in range(0, 40, 4):
-        assert [x for x, _ in own.encode_batch(texts[k : k + 4], decoded=False)] == [x for x, _ in want[k : k + 4]]
-        assert own.encode_batch(texts[k : k + 4]) == want[k : k + 4]
+        assert own.encode_batch(texts[k : k + 4], 5) == want[k : k + 4]
         if k % 3 == 0:
             own.forget()
 
@@ -49,7 +62,11 @@ def test_bpe_rows(spark):
     got = bpe.digests(docs, path).collect()
     assert [r.n_tokens for r in got] == [2, 0, 1, 2] and got[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert [len(r.ids) for r in bpe.encode(docs, path).collect()] == [2, 0, 1, 2]
-    assert bpe.encode(docs.limit(0), path).collect() == []
+    both = bpe.round_trip(docs, path)
+    assert [r.decoded_sha256 for r in both.collect()] == [r.decoded_sha256 for r in got]
+    back = bpe.decode(both.selectExpr("doc_id", "n_tokens as text", "ids").union(spark.createDataFrame([(9, 0, None), (10, 0, [None, 5, -1])], "doc_id long, text long, ids array<int>")), path).collect()
+    assert [hashlib.sha256(r.text.encode()).hexdigest() for r in back[:4]] == [r.decoded_sha256 for r in got] and [r.text for r in back[4:]] == ["", "&"]
+    assert bpe.encode(docs.limit(0), path).collect() == bpe.decode(both.limit(0), path).collect() == []
 
 
 def test_language_backs_off_from_words_to_shorter_grams():
