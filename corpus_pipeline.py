@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm import bpe, langid, minmax, mixing, queries, secrets
+from hopframe.llm import bpe, findings, langid, minmax, mixing, queries, secrets
 from hopframe.llm._runtime import materialize
 
 #: A prediction under this score is no decision: with L languages 1/L is a guess.
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mask and set n_chars anew; no document goes."""
-    model = secrets.fit(secrets.generated_findings(spark))
+    model = secrets.fit(findings.known_findings(spark))
     out = secrets.redact(docs, model)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -59,8 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of every row's text."""
-    return bpe.encode(docs, queries.tokenizer_file())
+    """doc_id, ids and n_tokens of every row's text, and decoded_sha256, the hash of what the ids decode to."""
+    return bpe.round_trip(docs, queries.tokenizer_file())
 
 
 STAGES = [
