@@ -13,13 +13,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import BitReader, BitWriter
 from ..functions.companding import GAIN_BITS, GAIN_MAX, MU, SUBGAIN_BITS, SUBGAIN_MAX
 from ..plans.modes import FRAME_TYPES, MODES, RATES
 from . import lpc, transform, vq
+from .framing import previous, valid_after_priming
 
 #: Frame type of each window type; shares of the frame before in band envelopes, by frame type; the start
 #: value of band history; the level at which codebooks lie; the pitch gain's range and companding.
@@ -330,18 +331,20 @@ def load_books(table: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def _mapped(df: DataFrame, schema: str, kernel) -> DataFrame:
-    """(sig, frame) and what kernel makes of each row's other columns; rows for which it makes null are left out."""
-    names = ["sig", "frame", schema.split(" ")[0]]
+def _mapped(df: DataFrame, schema: str, kernel, keep: tuple[str, ...] = ("sig", "frame")) -> DataFrame:
+    """The columns in keep, which come first, and what kernel makes of each row's other columns; rows for which it makes
+    null are left out."""
+    names = [*keep, schema.split(" ")[0]]
+    kept_types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.float64()) if "double" in schema else pa.binary() if "binary" in schema else pa.list_(pa.int32())
         for batch in batches:
-            made = [kernel(*(x.as_py() for x in row)) for row in zip(*batch.columns[2:], strict=True)]
-            kept = [k for k, x in enumerate(made) if x is not None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64())), pa.array([made[k] for k in kept], kind)], names=names)
+            made = [kernel(*(x.as_py() for x in row)) for row in zip(*batch.columns[len(keep) :], strict=True)]
+            at = pa.array([k for k, x in enumerate(made) if x is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], pa.array([x for x in made if x is not None], kind)], names=names)
 
-    return df.mapInArrow(run, f"sig string, frame long, {schema}")
+    return df.mapInArrow(run, f"{kept_types}, {schema}")
 
 
 def _with_before(frames: DataFrame, column: str) -> DataFrame:
@@ -358,12 +361,23 @@ def encode_frames(blocks: DataFrame, codec: Codec) -> DataFrame:
 
 
 def decode_frames(frames: DataFrame, codec: Codec) -> DataFrame:
-    """(sig, frame, x array of channels * n) of codes. History is that of the last frame there is, and for bands that of
-    the last one of the same type; frames that are left out change none."""
+    """(sig, frame, window_type, x array of channels * n) of codes. History is that of the last frame there is, and for bands
+    that of the last one of the same type; frames that are left out change none."""
     kind = F.element_at(F.array(*map(F.lit, TYPE_OF_WINDOW)), F.col("codes")[0] + 1)
-    last = lambda *keys: F.lag("codes").over(Window.partitionBy("sig", *keys).orderBy("frame"))
-    beside = frames.select("sig", "frame", "codes", last().alias("before"), last(kind).alias("same"))
-    return _mapped(beside, "x array<double>", lambda codes, before, same: codec.decode(codes, before, same).reshape(-1).tolist())
+    rows = frames.select("sig", "frame", "codes", kind.alias("kind"))
+    beside = previous(rows, ["sig"], "frame", ["codes"]).withColumnRenamed("before", "last")
+    beside = previous(beside, ["sig", "kind"], "frame", ["codes"])
+    beside = beside.select("sig", "frame", F.col("codes")[0].alias("window_type"), "codes", F.col("last.codes").alias("last"), F.col("before.codes").alias("same"))
+    return _mapped(beside, "x array<double>", lambda codes, before, same: codec.decode(codes, before, same).reshape(-1).tolist(), ("sig", "frame", "window_type"))
+
+
+def decode_samples(frames: DataFrame, codec: Codec, priming: int = 2) -> DataFrame:
+    """(sig, ch, i, x): the samples of codes (sig, frame, codes), left before right, without each signal's first priming
+    frames; they lead in."""
+    lay = codec.layout
+    subs = lay.form["medium"][0], lay.form["short"][0]
+    hops = transform.synthesised(decode_frames(frames, codec), lay.n, *subs, lay.channels)
+    return transform.channel_samples(valid_after_priming(hops, F.col("x").isNotNull(), skip=priming), lay.n, lay.channels)
 
 
 def pack_frames(frames: DataFrame, layout: Layout) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,13 @@ def frame_counts(signal: DataFrame, n: int, frame_bits: int) -> DataFrame:
 
 
 def hop_arrays(signal: DataFrame, n: int) -> DataFrame:
-    """(sig, frame, x array of n): hops, zeros where samples are missing."""
+    """(sig, frame, x array of n): hops, zeros where samples are missing or null; of repeated samples the largest counts."""
     frame, place = hop(n)
-    rows = signal.select("sig", frame, place, "x").groupBy("sig", "frame").agg(F.map_from_entries(F.collect_list(F.struct("p", "x"))).alias("m"))
-    return rows.select("sig", "frame", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0))).alias("x"))
+    rows = signal.select("sig", frame, place, "x").groupBy("sig", "frame").agg(F.collect_list(F.struct("p", "x")).alias("a"))
+    # a null for every place, before what is there; of each place the last stands
+    empty = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(p.alias("p"), F.lit(None).cast("double").alias("x")))
+    whole = F.transform(F.array(F.sort_array(F.concat("a", empty))), lambda a: F.filter(a, lambda e, i: F.coalesce(F.try_element_at(a, i + 2)["p"] != e["p"], F.lit(True))))[0]
+    return rows.select("sig", "frame", F.transform(whole, lambda e: F.coalesce(e["x"], F.lit(0.0))).alias("x"))
 
 
 def overlapped(hops: DataFrame, n: int) -> DataFrame:
@@ -84,9 +87,34 @@ def resample_linear(signal: DataFrame, up: int, down: int) -> DataFrame:
     return rows.select("sig", F.col("j").alias("i"), (F.col("x") + (F.coalesce("b", "x") - F.col("x")) * frac).alias("x"))
 
 
+def previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], span: int = 4096) -> DataFrame:
+    """rows with before: a struct of columns of the row before it, by the integer order, among rows of equal keys; null for
+    the first.
+
+    No key passes through one task: rows are ordered within spans of the order, and a span begins with a copy of the last
+    row of the span before, found among the spans' last rows. Rows of equal order are in any order.
+    """
+    tagged = rows.withColumn("__span", F.floor(F.col(order) / span).cast("long")).withColumn("__own", F.struct(*columns)).withColumn("__real", F.lit(True))
+    lasts = tagged.groupBy(*keys, "__span").agg(F.max_by("__own", order).alias("__own"))
+    after = F.lead("__span").over(Window.partitionBy(*keys).orderBy("__span"))  # one row for each span
+    copies = lasts.withColumn("__span", after).where("__span is not null").withColumn("__real", F.lit(False))
+    place = Window.partitionBy(*keys, "__span").orderBy("__real", order)
+    both = tagged.unionByName(copies, allowMissingColumns=True).withColumn("before", F.lag("__own").over(place))
+    return both.where("__real").drop("__span", "__own", "__real")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: str, name: str = "rank", span: int = 4096) -> DataFrame:
+    """rows with name: their number from 0 among rows of equal keys, by the integer order. Rows are ranked within spans of
+    the order, and spans are offset by the running count of those before, a small table."""
+    tagged = rows.withColumn("__span", F.floor(F.col(order) / span).cast("long"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    counts = tagged.groupBy(*keys, "__span").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    counts = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__span").alias("__at"), "__before")
+    joined = tagged.join(counts, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__span").eqNullSafe(F.col("__at"))])
+    rank = F.row_number().over(Window.partitionBy(*keys, "__span").orderBy(order)) - 1
+    return joined.withColumn(name, (F.col("__before") + rank).cast("long")).drop("__span", "__at", "__before", *[f"__{k}" for k in keys])
+
+
 def valid_after_priming(frames: DataFrame, valid: Column, order: str = "frame", skip: int = 2) -> DataFrame:
     """Frames that give output: valid ones but for each signal's first skip; invalid ones leave no state."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy(order))
-    return frames.where(valid).withColumn("__rank", rank).where(F.col("__rank") > skip).drop("__rank")
+    return ranked(frames.where(valid), ["sig"], order, "__rank").where(F.col("__rank") >= skip).drop("__rank")

@@ -8,9 +8,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .framing import previous, ranked
+
 #: Frames of this length and more take the FFT.
 FFT_FROM = 128
 
@@ -125,21 +128,16 @@ def _block_slopes(kind: int, n: int, sub_medium: int, sub_short: int) -> list[tu
     return [(n // sub_medium, widths[SLOPE_CLASS[x]]) for x in own]
 
 
-def synthesise(spectra: np.ndarray, window_types: list[int], n: int, sub_medium: int, sub_short: int, stereo: bool = False) -> np.ndarray:
-    """Block-switched synthesis of one channel: rows of n coefficients to n samples each, half a frame late.
-
-    Blocks tile the time line. A block fades in around its start and out around the next one's, over the width that the
-    later of the two has; the aliases of the two cancel there. A frame therefore needs the frame before and no other.
-    ValueError if a slope is wider than one of the blocks that it joins.
-    """
+def _lines(spectra: np.ndarray, window_types: list[int], n: int, sub_medium: int, sub_short: int, stereo: bool) -> np.ndarray:
+    """Frames x signals x n coefficients to signals x samples: see synthesise(). All signals have the same window types."""
     blocks, start = [], 0
-    for row, kind in zip(spectra, window_types, strict=True):
+    for rows, kind in zip(spectra, window_types, strict=True):
         at = 0
         for size, slope in _block_slopes(kind, n, sub_medium, sub_short):
-            blocks.append((start + at, size, slope, row[at : at + size]))
+            blocks.append((start + at, size, slope, rows[:, at : at + size]))
             at += size
         start += n
-    line = np.zeros(start + 2 * n)  # time -n comes first
+    line = np.zeros((spectra.shape[1], start + 2 * n))  # time -n comes first
     rise = lambda w: np.sin((np.arange(w) + 0.5) * (np.pi / (2 * w)))
     for j, (t, size, slope, coefs) in enumerate(blocks):
         after = blocks[j + 1][2] if j + 1 < len(blocks) else size
@@ -147,5 +145,64 @@ def synthesise(spectra: np.ndarray, window_types: list[int], n: int, sub_medium:
             raise ValueError(f"the block at {t} is shorter than the slope beside it")
         shape = np.concatenate([np.zeros((size - slope) // 2), rise(slope), np.ones((size - slope) // 2), np.ones((size - after) // 2), rise(after)[::-1], np.zeros((size - after) // 2)])
         scale = -np.sqrt((1.0 if stereo else 2.0) / size) / 32768.0
-        line[n + t - size // 2 : n + t + size + size // 2] += imdct(coefs[None], scale)[0] * shape
-    return line[n // 2 : n // 2 + start]
+        line[:, n + t - size // 2 : n + t + size + size // 2] += imdct(coefs, scale) * shape
+    return line[:, n // 2 : n // 2 + start]
+
+
+def synthesise(spectra: np.ndarray, window_types: list[int], n: int, sub_medium: int, sub_short: int, stereo: bool = False) -> np.ndarray:
+    """Block-switched synthesis of one channel: rows of n coefficients to n samples each, half a frame late.
+
+    Blocks tile the time line. A block fades in around its start and out around the next one's, over the width that the
+    later of the two has; the aliases of the two cancel there. A frame therefore needs the frame before and no other.
+    ValueError if a slope is wider than one of the blocks that it joins.
+    """
+    return _lines(np.asarray(spectra)[:, None, :], window_types, n, sub_medium, sub_short, stereo)[0]
+
+
+def synthesised(spectra: DataFrame, n: int, sub_medium: int, sub_short: int, channels: int = 1) -> DataFrame:
+    """(sig, frame, x array of channels * n): the samples of frames (sig, frame, window_type, x array of channels * n
+    coefficients, mid before side), left before right.
+
+    Each frame is put beside the one before it, and frames of the same two window types are made together. x is null for a
+    null or unknown window type, an x of another length, and a slope wider than a block that it joins; a frame after one
+    that is left out of spectra joins the last one there is.
+    """
+    beside = previous(spectra.select("sig", "frame", "window_type", "x"), ["sig"], "frame", ["window_type", "x"])
+    beside = beside.select("sig", "frame", "window_type", "x", F.col("before.window_type").alias("type_before"), F.col("before.x").alias("x_before"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.array([[-1 if t is None else t for t in batch.column(c).to_pylist()] for c in ("type_before", "window_type")])
+            lists = batch.column("x_before"), batch.column("x")
+            fits = [np.array(pc.fill_null(pc.equal(pc.list_value_length(x), channels * n), False)) for x in lists]
+            first = np.array(batch.column("x_before").is_null())
+            out: list[np.ndarray | None] = [None] * len(batch)
+            for a, b in {(-1 if alone else int(a), int(b)) for a, b, alone in zip(*kinds, first, strict=True)}:
+                if not 0 <= b < len(SLOPE_CLASS) or a >= len(SLOPE_CLASS):
+                    continue
+                at = np.flatnonzero(fits[1] & (kinds[1] == b) & (first if a < 0 else fits[0] & (kinds[0] == a)))
+                if not len(at):
+                    continue
+                cut = lambda x: x.take(pa.array(at)).flatten().to_numpy().reshape(-1, n)  # noqa: B023, E731
+                rows = [cut(lists[1])] if a < 0 else [cut(lists[0]), cut(lists[1])]
+                try:
+                    made = _lines(np.stack(rows), [b] if a < 0 else [a, b], n, sub_medium, sub_short, channels == 2)[:, -n:]
+                except ValueError:
+                    continue
+                made = made.reshape(len(at), channels, n)
+                if channels == 2:
+                    made = np.stack([made[:, 0] + made[:, 1], made[:, 0] - made[:, 1]], 1)
+                for k, row in zip(at, made.reshape(len(at), -1), strict=True):
+                    out[k] = row
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("frame"), pa.array(out, pa.list_(pa.float64()))], names=["sig", "frame", "x"])
+
+    kind = spectra.schema["sig"].dataType.simpleString()
+    return beside.mapInArrow(run, f"sig {kind}, frame long, x array<double>")
+
+
+def channel_samples(hops: DataFrame, n: int, channels: int) -> DataFrame:
+    """(sig, ch, i, x) of hops of channels * n samples, numbered by the frames that there are."""
+    numbered = ranked(hops, ["sig"], "frame", "hop")
+    rows = numbered.select("sig", "hop", F.posexplode("x").alias("p", "x"))
+    div = F.call_function("div", F.col("p"), F.lit(n)).cast("int")
+    return rows.select("sig", div.alias("ch"), (F.col("hop") * n + F.col("p") % n).alias("i"), "x").where(F.col("ch") < channels)

@@ -5,6 +5,7 @@ import pytest
 
 from hopframe.operators import codec, framing, lpc, transform
 from hopframe.plans import modes
+from hopframe.sources import container
 
 
 def _books(layout, seed=0):
@@ -116,3 +117,42 @@ def test_envelope_of_short_blocks_is_exact():
     w = np.pi * np.arange(1, 13) / 13
     size = layout.n // 8
     assert np.allclose(c.envelope("short", w), lpc.envelope_at(2 * np.cos(w), np.cos((2 * np.arange(size) + 1) * np.pi / (2 * size))))
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_files_decode_to_samples(spark, tmp_path, channels):
+    """A file of records of all types is read, cut, parsed, decoded and synthesised as one line of blocks says."""
+    F = framing.F
+    layout = codec.Layout(16, 16, channels)
+    c = codec.Codec(layout, _books(layout))
+    rng = np.random.default_rng(8)
+    kinds = [0, 0, 2, 3, 8, 5, 2, 4, 7, 5, 0, 6]
+    codes = [[k, *(int(rng.integers(2**bits)) for _, bits in layout.fields(codec.TYPE_OF_WINDOW[k]))] for k in kinds]
+    bits = "".join(f"{int.from_bytes(layout.pack(x), 'big') >> (-layout.frame_bits % 8):0{layout.frame_bits}b}" for x in codes)
+    data = int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+    infos = spark.createDataFrame([("a", channels, 16 * channels, 16_000, 0, {"title": "t"})], "file string, channels int, kbps int, rate int, data_size int, tags map<string,string>")
+    files = container.build(container.info_chunks(infos), spark.createDataFrame([("a", bytearray(data))], "file string, data binary"))
+    container.write(files, str(tmp_path)).collect()
+    parsed = container.parse(container.read(spark, f"file://{tmp_path}/a"), keep=("file", "content"))
+    headers = container.header_fields(parsed, keep=("file", "content", "data_offset"))
+    asked = modes.exact_modes(headers)
+    records = container.packets(asked).withColumnRenamed("file", "sig")
+    frames = codec.parse_frames(records, layout)
+    assert [r.codes for r in frames.orderBy("frame").collect()] == codes
+    got = codec.decode_samples(frames, c).collect()
+    spectra = {r.frame: np.reshape(r.x, (channels, layout.n)) for r in codec.decode_frames(frames, c).collect()}
+    subs = layout.form["medium"][0], layout.form["short"][0]
+    lines = [transform.synthesise(np.stack([spectra[f][k] for f in range(len(kinds))]), kinds, layout.n, *subs, stereo=channels == 2) for k in range(channels)]
+    if channels == 2:
+        lines = [lines[0] + lines[1], lines[0] - lines[1]]
+    out = np.full((channels, (len(kinds) - 2) * layout.n), np.nan)
+    for r in got:
+        out[r.ch, r.i] = r.x
+    assert len(got) == out.size and np.allclose(out, np.stack(lines)[:, 2 * layout.n :], rtol=1e-9, atol=1e-12)
+
+
+def test_frames_that_cannot_be_joined_have_no_samples(spark):
+    rows = [("s", 0, 2, [1.0] * 64), ("s", 1, 0, [1.0] * 64), ("s", 2, None, [1.0] * 64), ("s", 3, 9, [1.0] * 64), ("t", 5, 0, [1.0] * 63), ("t", 6, 0, [1.0] * 64), ("u", 0, 0, None), ("v", 0, 0, [1.0] * 64)]
+    got = {(r.sig, r.frame): r.x for r in transform.synthesised(spark.createDataFrame(rows, "sig string, frame long, window_type int, x array<double>"), 64, 4, 8).collect()}
+    assert {k for k, x in got.items() if x is not None} == {("s", 0), ("v", 0)} and len(got) == len(rows)
+    assert transform.synthesised(spark.createDataFrame([], "sig string, frame long, window_type int, x array<double>"), 64, 4, 8).collect() == []

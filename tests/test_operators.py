@@ -186,6 +186,29 @@ def test_split_ends():
     assert [vq.split_ends(*x) for x in ((12, 3), (16, 3), (16, 4), (20, 4))] == [[3, 8, 12], [4, 11, 16], [3, 7, 11, 16], [4, 9, 14, 20]]
 
 
+@pytest.mark.parametrize("span", [4096, 3])
+def test_rows_are_put_beside_those_before(spark, span):
+    rng = np.random.default_rng(3)
+    rows = [(k, g, int(f), float(f) + g) for k in ("a", None) for g in (0, 1) for f in rng.choice(60, 20, replace=False)]
+    df = spark.createDataFrame(rows, "k string, g int, frame long, x double").repartition(3)
+    order = {}
+    for k, g, f, _ in sorted(rows, key=lambda r: r[2]):
+        order.setdefault((k, g), []).append(f)
+    got = {(r.k, r.g, r.frame): r.before for r in framing.previous(df, ["k", "g"], "frame", ["x", "frame"], span).collect()}
+    assert len(got) == len(rows)
+    for (k, g), fs in order.items():
+        assert got[k, g, fs[0]] is None
+        assert all(tuple(got[k, g, b]) == (float(a) + g, a) for a, b in zip(fs, fs[1:], strict=False))
+    ranks = {(r.k, r.g, r.frame): r.rank for r in framing.ranked(df, ["k", "g"], "frame", span=span).collect()}
+    assert ranks == {(*key, f): i for key, fs in order.items() for i, f in enumerate(fs)}
+
+
+def test_hops_take_the_largest_of_repeated_samples(spark):
+    rows = [("s", 0, 1.0), ("s", 0, 3.0), ("s", 0, None), ("s", 2, -2.0), ("s", 5, None), ("s", 5, -1.0), ("s", 7, None)]
+    got = {r.frame: r.x for r in framing.hop_arrays(spark.createDataFrame(rows, "sig string, i long, x double"), 4).collect()}
+    assert got == {0: [3.0, 0.0, -2.0, 0.0], 1: [0.0, -1.0, 0.0, 0.0]}
+
+
 def test_bad_containers_give_errors(spark):
     good = spark.range(1).select(container.header(container.F.array(container.chunk("NAME", container.F.lit(b"x")))).alias("c")).first().c
     rows = [("good", good), ("cut", good[:-6]), ("magic", b"XXXX" + good[4:]), ("version", good[:4] + b"12345678" + good[12:]), ("long", good[:20] + b"\0\0\xff\xff" + good[24:]), ("empty", b""), ("null", None)]
