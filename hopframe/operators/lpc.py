@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .transform import apply_arrays
+from .transform import apply_arrays, window
 
 
 def autocorrelation(x: np.ndarray, order: int) -> np.ndarray:
@@ -32,35 +32,59 @@ def levinson(r: np.ndarray) -> np.ndarray:
     return a
 
 
-def line_spectrum(a: np.ndarray) -> np.ndarray:
-    """Line spectral frequencies in (0, pi) of one row of coefficients of even order, ascending.
+def _chebyshev_roots(series: np.ndarray) -> np.ndarray:
+    """Roots of rows of Chebyshev series (low terms first), as eigenvalues of their companion matrices."""
+    rows, n = series.shape[0], series.shape[1] - 1
+    if n == 1:
+        return -series[:, :1] / series[:, 1:]
+    matrix = np.zeros((rows, n, n))
+    at = np.arange(n - 1)
+    matrix[:, at, at + 1] = matrix[:, at + 1, at] = 0.5
+    matrix[:, 0, 1] = matrix[:, 1, 0] = 0.5**0.5
+    # the first row and column are scaled so that the matrix is symmetric but for its last column
+    scale = np.full(n, 0.5)
+    scale[0] = 0.5**0.5
+    matrix[:, :, -1] -= series[:, :-1] / series[:, -1:] * scale[None]
+    return np.linalg.eigvals(matrix)
+
+
+def line_spectra_of(a: np.ndarray) -> np.ndarray:
+    """Line spectral frequencies in (0, pi) of rows of coefficients of even order, ascending.
 
     They are the angles of the roots of the sum and the difference of the polynomial and its mirror image, without their
     fixed roots at +-1; as series in cos w those are Chebyshev series, whose roots are eigenvalues. Where not all are
     real and within (-1, 1) the frequencies are spread evenly.
     """
-    order = len(a) - 1
-    mirrored = np.r_[a, 0.0], np.r_[0.0, a[::-1]]
-    angles = []
-    for poly, fixed in ((mirrored[0] + mirrored[1], [1.0, 1.0]), (mirrored[0] - mirrored[1], [1.0, -1.0])):
-        rest = np.polydiv(poly, fixed)[0]
+    rows, order = a.shape[0], a.shape[1] - 1
+    none = np.zeros((rows, 1))
+    straight, mirrored = np.hstack([a, none]), np.hstack([none, a[:, ::-1]])
+    found, real = [], np.ones(rows, bool)
+    for poly, fixed in ((straight + mirrored, -1.0), (straight - mirrored, 1.0)):
+        rest = np.zeros((rows, order + 1))  # divided by x - fixed
+        rest[:, 0] = poly[:, 0]
+        for k in range(1, order + 1):
+            rest[:, k] = poly[:, k] + fixed * rest[:, k - 1]
         middle = order // 2
-        series = np.r_[rest[middle], 2 * rest[middle + 1 :]]
-        x = np.polynomial.chebyshev.chebroots(series)
-        angles.append(np.arccos(np.real(x[(np.abs(np.imag(x)) < 1e-9) & (np.abs(np.real(x)) < 1)])))
-    found = np.sort(np.concatenate(angles))
-    if len(found) != order:
-        found = np.pi * np.arange(1, order + 1) / (order + 1)
-    return np.sort(spread(found, 0.001))
+        x = _chebyshev_roots(np.hstack([rest[:, middle : middle + 1], 2 * rest[:, middle + 1 :]]))
+        real &= ((np.abs(np.imag(x)) < 1e-9) & (np.abs(np.real(x)) < 1)).all(1)
+        found.append(np.arccos(np.clip(np.real(x), -1, 1)))
+    even = np.pi * np.arange(1, order + 1) / (order + 1)
+    angles = np.where(real[:, None], np.sort(np.hstack(found), 1), even)
+    return np.sort(spread(angles.T, 0.001).T, 1)
+
+
+def line_spectrum(a: np.ndarray) -> np.ndarray:
+    """line_spectra_of() one row."""
+    return line_spectra_of(np.asarray(a, float)[None])[0]
 
 
 def spread(lsp: np.ndarray, least: float) -> np.ndarray:
-    """One pass from below: neighbours nearer than least move to least apart around their mean."""
+    """One pass from below over the first axis: neighbours nearer than least move to least apart around their mean."""
     out = lsp.astype(float).copy()
     for i in range(1, len(out)):
-        if out[i] - out[i - 1] < least:
-            mean = (out[i] + out[i - 1]) / 2
-            out[i - 1], out[i] = mean - least / 2, mean + least / 2
+        near = out[i] - out[i - 1] < least
+        mean = (out[i] + out[i - 1]) / 2
+        out[i - 1], out[i] = np.where(near, mean - least / 2, out[i - 1]), np.where(near, mean + least / 2, out[i])
     return out
 
 
@@ -122,4 +146,10 @@ def predictors(lag_rows: DataFrame, order: int) -> DataFrame:
 
 def line_spectra(coefficients: DataFrame, order: int) -> DataFrame:
     """(sig, frame, x array of order frequencies) of coefficients."""
-    return apply_arrays(coefficients, "x", order + 1, lambda a: np.stack([line_spectrum(row) for row in a]) if len(a) else np.zeros((0, order)))
+    return apply_arrays(coefficients, "x", order + 1, line_spectra_of)
+
+
+def analysed(blocks: DataFrame, n: int, order: int) -> DataFrame:
+    """(sig, frame, x array of order frequencies) of blocks of 2n samples (see framing.overlapped): sine taper, lags,
+    prediction, line spectral frequencies."""
+    return apply_arrays(blocks.select("sig", "frame", "x"), "x", 2 * n, lambda x: line_spectra_of(levinson(autocorrelation(x * window(n), order))))

@@ -14,32 +14,42 @@ MOST_VALUES = 4_000_000
 
 
 def load_codebook(table: DataFrame, code: str = "code", vector: str = "v") -> tuple[np.ndarray, np.ndarray]:
-    """(codes ascending, matrix). ValueError beyond MOST_VALUES values, without rows, or with rows of several lengths."""
-    rows = table.select(F.col(code).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")).limit(MOST_VALUES + 1).collect()
-    if not rows or len({len(r["v"]) for r in rows}) != 1 or len(rows) * len(rows[0]["v"]) > MOST_VALUES:
+    """(codes ascending, matrix). ValueError beyond MOST_VALUES values, without rows, or with rows of several lengths; that is
+    asked before any row comes to the driver."""
+    rows = table.select(F.col(code).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not n or least is None or least != most or n * most > MOST_VALUES:
         raise ValueError("a codebook has rows of one length, and not too many")
-    rows.sort(key=lambda r: r["c"])
-    return np.array([r["c"] for r in rows]), np.array([r["v"] for r in rows])
+    found = sorted(rows.collect(), key=lambda r: r["c"])
+    return np.array([r["c"] for r in found]), np.array([r["v"] for r in found])
 
 
-def errors(x: np.ndarray, book: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """Squared errors of each row against each code, weighted by place."""
-    d = (x[:, None, :] - book[None]) ** 2
-    return d.sum(2) if weight is None else (d * weight[:, None, :]).sum(2)
+#: Differences that are held at once.
+_HELD = 1 << 22
 
 
-def _mapped(df: DataFrame, vector: str, keep: list[str], schema: str, kernel) -> DataFrame:
-    """keep columns and what kernel makes of each batch's matrix: (rows of the batch, columns)."""
+def errors(x: np.ndarray, book: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Squared errors of each row against each code, weighted by place; by blocks of codes."""
+    step = max(1, _HELD // max(1, x.size))
+    out = np.empty((len(x), len(book)))
+    for lo in range(0, len(book), step):
+        d = (x[:, None, :] - book[None, lo : lo + step]) ** 2
+        out[:, lo : lo + step] = d.sum(2) if weight is None else (d * weight[:, None, :]).sum(2)
+    return out
+
+
+def _mapped(df: DataFrame, vector: str, keep: list[str], schema: str, kernel, codes: int = 1) -> DataFrame:
+    """keep columns and what kernel makes of each part of a batch: (rows of the part, columns). A part's vectors have one
+    length, and with codes to compare with they are few enough to hold all errors."""
     src = df.select(*keep, F.col(vector).cast("array<double>").alias("__v"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    most = max(1, min(256, _HELD // max(1, codes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                if not len(part):
-                    continue
-                x = np.array(part.column("__v").to_pylist(), float).reshape(len(part), -1)
+            for lo in range(0, len(batch), most):
+                part = batch.slice(lo, most)
+                x = part.column("__v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
                 rows, columns = kernel(x)
                 kept = [part.column(c).take(pa.array(rows)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c) for c in columns.values()]], names=[*keep, *columns])
@@ -58,7 +68,7 @@ def nearest(df: DataFrame, book: tuple[np.ndarray, np.ndarray], keep: list[str],
         rows = np.repeat(np.arange(len(x)), n)
         return rows, {"slot": np.tile(np.arange(n, dtype=np.int32), len(x)), "code": codes[best.reshape(-1)], "err": e[rows, best.reshape(-1)]}
 
-    return _mapped(df, vector, keep, "slot int, code long, err double", kernel)
+    return _mapped(df, vector, keep, "slot int, code long, err double", kernel, len(codes))
 
 
 def two_stage(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndarray, beam: int = 4, passes: int = 2, signed: tuple[bool, bool] = (True, True)) -> dict[str, np.ndarray]:
@@ -103,7 +113,7 @@ def quantize_two_stage(df: DataFrame, first: tuple[np.ndarray, np.ndarray], seco
         out = two_stage(x, first[1], second[1], np.ones_like(x) if weight is None else weight(x), passes=passes)
         return np.arange(len(x)), out | {"code0": first[0][out["code0"]], "code1": second[0][out["code1"]]}
 
-    return _mapped(df, vector, keep, "code0 long, sign0 int, code1 long, sign1 int, err double", kernel)
+    return _mapped(df, vector, keep, "code0 long, sign0 int, code1 long, sign1 int, err double", kernel, 2 * max(len(first[0]), len(second[0])))
 
 
 def split_ends(order: int, split: int) -> list[int]:
@@ -125,14 +135,17 @@ def split_codes(df: DataFrame, book: tuple[np.ndarray, np.ndarray], ends: list[i
         m = len(ends)
         return np.repeat(np.arange(len(x)), m), {"segment": np.tile(np.arange(m, dtype=np.int32), len(x)), "code": codes[np.stack(at, 1).reshape(-1)], "err": np.stack(err, 1).reshape(-1)}
 
-    return _mapped(df, vector, keep, "segment int, code long, err double", kernel)
+    return _mapped(df, vector, keep, "segment int, code long, err double", kernel, len(codes))
 
 
-def gain_fit(x: Column, y: Column) -> Column:
-    """Least-squares factor of y towards x, both arrays, at least 0; 1 where y is next to nothing."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    yy = dot(y, y)
-    return F.when(yy <= 1e-20, 1.0).otherwise(F.greatest(F.lit(0.0), dot(x, y) / yy))
+def gain_fit(x: Column, y: Column, weight: Column | None = None) -> Column:
+    """Least-squares factor of y towards x, both arrays, weighted by place (by 1 by default), at least 0; 1 where y is next
+    to nothing."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a)
+    times = lambda a, b: F.zip_with(a, b, lambda p, q: p * q)
+    weighed = y if weight is None else times(weight, y)
+    yy = total(times(weighed, y))
+    return F.when(yy <= 1e-20, 1.0).otherwise(F.greatest(F.lit(0.0), total(times(weighed, x)) / yy))
 
 
 def expand_bands(values: Column, widths: list[int]) -> Column:

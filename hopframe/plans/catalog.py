@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import record_queries, signal_queries, vector_queries  # noqa: F401  they register their queries
+from . import codec_queries, record_queries, signal_queries, vector_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
