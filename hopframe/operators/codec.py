@@ -13,7 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import BitReader, BitWriter
@@ -316,11 +316,19 @@ class Codec:
         return np.stack([lpc.line_spectrum(a) for a in lpc.levinson(lags)])
 
 
+def book_rows(spark: SparkSession, books: dict[str, np.ndarray]) -> DataFrame:
+    """Codebooks as rows (name, code, dim, value), to be written as a table; load_books() undone."""
+    parts = [pa.table({"name": [name] * book.size, "code": np.repeat(np.arange(book.shape[0], dtype=np.int32), book.shape[1]), "dim": np.tile(np.arange(book.shape[1], dtype=np.int32), book.shape[0]), "value": book.reshape(-1).astype(float)}) for name, book in sorted(books.items())]
+    if not parts:
+        return spark.createDataFrame([], "name string, code int, dim int, value double")
+    return spark.createDataFrame(pa.concat_tables(parts))
+
+
 def load_books(table: DataFrame) -> dict[str, np.ndarray]:
     """Codebooks of rows (name, code, dim, value), at most vq.MOST_VALUES; missing places are 0."""
-    rows = table.limit(vq.MOST_VALUES + 1).collect()
-    if len(rows) > vq.MOST_VALUES:
+    if table.count() > vq.MOST_VALUES:
         raise ValueError("the codebooks are too large")
+    rows = table.collect()
     shapes: dict[str, tuple[int, int]] = {}
     for r in rows:
         a, b = shapes.get(r["name"], (0, 0))

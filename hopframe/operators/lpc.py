@@ -101,6 +101,13 @@ def spread_column(lsp: Column, least: float) -> Column:
     return F.aggregate(lsp, start, step, lambda s: F.concat(s["done"], F.array(s["last"])))
 
 
+def blended(now: Column, before: Column, share: float) -> Column:
+    """Frequencies blended with those before (0 where there are none), spread twice and sorted."""
+    old = F.coalesce(before, F.transform(now, lambda x: x * 0.0))
+    mixed = F.zip_with(now, old, lambda a, b: a * (1 - share) + b * share)
+    return F.array_sort(spread_column(spread_column(mixed, 1e-4), 9.5e-5))
+
+
 def envelope_at(doubled_cosines: np.ndarray, cosine: np.ndarray) -> np.ndarray:
     """Spectral envelope 1/2 / (p^2 (2 - 2c) + q^2 (2 + 2c)); p and q are half the products over odd and even places."""
     c = 2 * np.asarray(cosine)[..., None]

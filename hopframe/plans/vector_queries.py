@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lpc, vq
+from ..operators import framing, lpc, vq
 from .registry import query, rounded, table
 
 ORDER, SPLIT, WIDTHS = 12, 3, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
@@ -44,14 +44,16 @@ def vq_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W16 = "list_sum(list_transform(range(1, 17), lambda j: w[j] * power({x}[j] - sg * {c}[j], 2)))"
 
 
-@query(f"""{_V}, t AS (SELECT vec_id, e[1:16] AS x, list_transform(e[1:16], lambda u: 1 + abs(u)) AS w0 FROM v),
+_TWO_STAGE = f"""{_V[5:]}, t AS (SELECT vec_id, e[1:16] AS x, list_transform(e[1:16], lambda u: 1 + abs(u)) AS w0 FROM v),
 x AS (SELECT vec_id, x, list_transform(w0, lambda u: u / list_max(w0)) AS w FROM t), sg AS (SELECT * FROM (VALUES (0, 1), (1, -1)) s(o, sg)),
 one AS (SELECT x.vec_id, x.x, w, c.vec_id AS code0, sg.o AS o0, sg AS sign0, c.e AS c0, {_W16.format(x="x.x", c="c.e")} AS err FROM x, sg JOIN v c ON c.vec_id < 32),
 beam AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY err, code0, o0) AS slot FROM one QUALIFY slot <= 4),
-rest AS (SELECT vec_id, w, slot, code0, sign0, list_transform(range(1, 17), lambda j: x[j] - sign0 * c0[j]) AS y FROM beam),
-two AS (SELECT rest.vec_id, slot, code0, sign0, c.vec_id AS code1, sg.o AS o1, sg AS sign1, {_W16.format(x="rest.y", c="c.e")} AS err FROM rest, sg JOIN v c ON c.vec_id >= 32 AND c.vec_id < 64)
-SELECT vec_id, code0, sign0::INTEGER AS sign0, code1, sign1::INTEGER AS sign1, round(err, 6) + 0.0 AS err
-FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY err, slot, code1, o1) AS r FROM two) WHERE r = 1""")
+rest AS (SELECT vec_id, x, w, slot, code0, sign0, list_transform(range(1, 17), lambda j: x[j] - sign0 * c0[j]) AS y FROM beam),
+two AS (SELECT rest.vec_id, x, w, slot, code0, sign0, c.vec_id AS code1, sg.o AS o1, sg AS sign1, {_W16.format(x="rest.y", c="c.e")} AS err FROM rest, sg JOIN v c ON c.vec_id >= 32 AND c.vec_id < 64),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY err, slot, code1, o1) AS r FROM two) WHERE r = 1)"""
+
+
+@query(f"WITH {_TWO_STAGE} SELECT vec_id, code0, sign0::INTEGER AS sign0, code1, sign1::INTEGER AS sign1, round(err, 6) + 0.0 AS err FROM best")
 def vq_two_stage_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     short = v.select("vec_id", F.slice("v", 1, 16).alias("v"))
@@ -59,7 +61,22 @@ def vq_two_stage_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "code0", "sign0", "code1", "sign1", rounded("err"))
 
 
-@query()
+def _refined_sql(passes: int) -> str:
+    """Each stage searched again with the other held; the earlier choice stays unless the error gets smaller."""
+    steps, last = [], "best"
+    for k in range(passes):
+        for stage, held in ((0, 1), (1, 0)):
+            own = "c.vec_id < 32" if stage == 0 else "c.vec_id >= 32 AND c.vec_id < 64"
+            name = f"s{k}_{stage}"
+            steps.append(f"""{name}r AS (SELECT b.vec_id, b.x, b.w, list_transform(range(1, 17), lambda j: b.x[j] - b.sign{held} * h.e[j]) AS y, b.code0, b.sign0, b.code1, b.sign1, b.err FROM {last} b JOIN v h ON h.vec_id = b.code{held}),
+{name}t AS (SELECT r.*, c.vec_id AS code, sg, o, {_W16.format(x="r.y", c="c.e")} AS e2 FROM {name}r r, sg JOIN v c ON {own}),
+{name} AS (SELECT vec_id, x, w, {', '.join(f'CASE WHEN e2 < err THEN {n} ELSE {c}{stage} END AS {c}{stage}' for c, n in (('code', 'code'), ('sign', 'sg')))}, code{held}, sign{held}, least(err, e2) AS err
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY e2, code, o) AS r FROM {name}t) WHERE r = 1)""")
+            last = name
+    return ", ".join(steps) + f" SELECT vec_id, code0, sign0::INTEGER AS sign0, code1, sign1::INTEGER AS sign1, round(err, 6) + 0.0 AS err FROM {last}"
+
+
+@query(f"WITH {_TWO_STAGE}, " + _refined_sql(2))
 def vq_two_stage_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     short = v.select("vec_id", F.slice("v", 1, 16).alias("v"))
@@ -102,24 +119,26 @@ def bark_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT *, lag(now, 1, 0.1) OVER (PARTITION BY label, band ORDER BY vec_id) AS before FROM x)
 SELECT vec_id, band, round(CASE WHEN 0.72 * now + 0.28 * before + 1 < -1 THEN 1.0 ELSE 0.72 * now + 0.28 * before + 1 END, 6) + 0.0 AS value FROM h""")
 def bark_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir).select("vec_id", "label", F.posexplode(F.slice("v", 1, 10)).alias("band", "x"))
-    before = F.lag(F.col("x") * 8, 1, 0.1).over(Window.partitionBy("label", "band").orderBy("vec_id"))
-    return v.withColumn("before", before).select("vec_id", "band", vq.band_value(F.col("x") * 8, F.col("before"), 0.28).alias("value")).select("vec_id", "band", rounded("value"))
+    v = _vectors(spark, sf_dir).select("vec_id", "label", F.transform(F.slice("v", 1, 10), lambda x: x * 8).alias("now"))
+    beside = framing.previous(v, ["label"], "vec_id", ["now"])
+    before = F.coalesce("before.now", F.array_repeat(F.lit(0.1), 10))
+    value = F.zip_with("now", before, lambda a, b: vq.band_value(a, b, 0.28))
+    return beside.select("vec_id", F.posexplode(value).alias("band", "value")).select("vec_id", "band", rounded("value"))
 
 
 def _raw(e: str) -> str:
     return f"list_transform(range({ORDER}), lambda j: (j + 1) * pi() / {ORDER + 1} + 0.8 * {e}[j + 1])"
 
 
-def _spread_sql(least: float) -> str:
-    """One column for each place, as the pass goes up; then the finished list."""
-    steps = [f"p0 AS (SELECT vec_id, {', '.join(f'l[{j + 1}] AS l{j}' for j in range(ORDER))}, l[1] AS u FROM raw)"]
+def _spread_sql(least: float, source: str = "raw", name: str = "spread") -> str:
+    """From source(vec_id, l): one column for each place, as the pass goes up; then the finished list, in name."""
+    steps = [f"{name}0 AS (SELECT vec_id, {', '.join(f'l[{j + 1}] AS l{j}' for j in range(ORDER))}, l[1] AS u FROM {source})"]
     for i in range(1, ORDER):
         done = "".join(f"o{j}, " for j in range(i - 1))
         rest = "".join(f", l{j}" for j in range(i + 1, ORDER))
         near = f"l{i} - u < {least}"
-        steps.append(f"p{i} AS (SELECT vec_id, {done}CASE WHEN {near} THEN (u + l{i}) / 2 - {least / 2} ELSE u END AS o{i - 1}, CASE WHEN {near} THEN (u + l{i}) / 2 + {least / 2} ELSE l{i} END AS u{rest} FROM p{i - 1})")
-    return ", ".join(steps) + f", spread AS (SELECT vec_id, [{', '.join(f'o{j}' for j in range(ORDER - 1))}, u] AS l FROM p{ORDER - 1})"
+        steps.append(f"{name}{i} AS (SELECT vec_id, {done}CASE WHEN {near} THEN (u + l{i}) / 2 - {least / 2} ELSE u END AS o{i - 1}, CASE WHEN {near} THEN (u + l{i}) / 2 + {least / 2} ELSE l{i} END AS u{rest} FROM {name}{i - 1})")
+    return ", ".join(steps) + f", {name} AS (SELECT vec_id, [{', '.join(f'o{j}' for j in range(ORDER - 1))}, u] AS l FROM {name}{ORDER - 1})"
 
 
 _SPREAD = _V + f", raw AS (SELECT vec_id, {_raw('e')} AS l FROM v), " + _spread_sql(0.05)
@@ -154,8 +173,10 @@ def lpc_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SPREAD + """, b AS (SELECT s.vec_id, v.label, j::INTEGER AS j, s.l[j + 1] AS now FROM spread s JOIN v USING (vec_id), range(12) r(j)),
-h AS (SELECT *, lag(now, 1, 0.0) OVER (PARTITION BY label, j ORDER BY vec_id) AS before FROM b) SELECT vec_id, j, round(now * 0.7 + before * 0.3, 6) + 0.0 AS lsp FROM h""")
+h AS (SELECT *, lag(now, 1, 0.0) OVER (PARTITION BY label, j ORDER BY vec_id) AS before FROM b),
+mixed AS (SELECT vec_id, list(now * 0.7 + before * 0.3 ORDER BY j) AS l FROM h GROUP BY vec_id), """ + _spread_sql(1e-4, "mixed", "once") + ", " + _spread_sql(9.5e-5, "once", "twice") + " SELECT vec_id, j::INTEGER AS j, round(list_sort(l)[j + 1], 6) + 0.0 AS lsp FROM twice, range(12) r(j)")
 def lsp_history_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _frequencies(spark, sf_dir).select("vec_id", "label", F.posexplode(lpc.spread_column(F.col("l"), 0.05)).alias("j", "now"))
-    before = F.lag("now", 1, 0.0).over(Window.partitionBy("label", "j").orderBy("vec_id"))
-    return rows.select("vec_id", "j", (F.col("now") * 0.7 + before * 0.3).alias("lsp")).select("vec_id", "j", rounded("lsp"))
+    """Frequencies blended with those of the row before of the label, spread twice and sorted."""
+    rows = _frequencies(spark, sf_dir).select("vec_id", "label", lpc.spread_column(F.col("l"), 0.05).alias("now"))
+    beside = framing.previous(rows, ["label"], "vec_id", ["now"]).select("vec_id", lpc.blended(F.col("now"), F.col("before.now"), 0.3).alias("lsp"))
+    return beside.select("vec_id", F.posexplode("lsp").alias("j", "lsp")).select("vec_id", "j", rounded("lsp"))

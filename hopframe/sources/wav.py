@@ -103,12 +103,13 @@ def read(spark: SparkSession, paths: str, strict: bool = True) -> DataFrame:
     return scan(spark.read.format("binaryFile").load(paths), strict)
 
 
-def write16(hops: DataFrame, folder: str, rate: int) -> DataFrame:
-    """Write mono signals (sig, frame, x array) as 16-bit files to folder, a URI that all executors reach; returns
-    (sig, file, n). Each task streams its signals hop by hop; a repeated task writes files of other names."""
+def write16(hops: DataFrame, folder: str, rate: int, channels: int = 1) -> DataFrame:
+    """Write signals (sig, frame, x array of channels after each other) as 16-bit files to folder, a URI that all executors
+    reach; returns (sig, file, n), n samples a channel. Each task streams its signals hop by hop; a repeated task writes
+    files of other names. ValueError for a file of over 4 GB."""
     from pyarrow import fs
 
-    total = hops.groupBy(F.col("sig").alias("s")).agg(F.sum(F.size("x")).alias("n"))
+    total = hops.groupBy(F.col("sig").alias("s")).agg(F.sum(F.call_function("div", F.size("x"), F.lit(channels))).alias("n"))
     rows = hops.join(total, F.col("sig") == F.col("s")).select("sig", "n", "frame", "x").repartition("sig").sortWithinPartitions("sig", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +123,10 @@ def write16(hops: DataFrame, folder: str, rate: int) -> DataFrame:
                         out.close()
                     now, name = sig, f"{uuid.uuid4().hex}.wav"
                     out = files.open_output_stream(f"{base}/{name}")
-                    out.write(header16(rate, 1, n))
+                    out.write(header16(rate, channels, n))
                     done.append({"sig": sig, "file": name, "n": n})
-                out.write(np.rint(np.clip(np.array(x.as_py(), float), -1, 1) * 32767).astype("<i2").tobytes())
+                samples = x.values.to_numpy(zero_copy_only=False).reshape(channels, -1).T
+                out.write(np.rint(np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
         if out is not None:
             out.close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("sig", pa.string()), ("file", pa.string()), ("n", pa.int64())]))

@@ -156,3 +156,10 @@ def test_frames_that_cannot_be_joined_have_no_samples(spark):
     got = {(r.sig, r.frame): r.x for r in transform.synthesised(spark.createDataFrame(rows, "sig string, frame long, window_type int, x array<double>"), 64, 4, 8).collect()}
     assert {k for k, x in got.items() if x is not None} == {("s", 0), ("v", 0)} and len(got) == len(rows)
     assert transform.synthesised(spark.createDataFrame([], "sig string, frame long, window_type int, x array<double>"), 64, 4, 8).collect() == []
+
+
+def test_books_are_rows_and_back(spark):
+    books = _books(codec.Layout(8, 8, 1))
+    back = codec.load_books(codec.book_rows(spark, books))
+    assert back.keys() == books.keys() and all((back[k] == v).all() for k, v in books.items())
+    assert codec.load_books(codec.book_rows(spark, {})) == {}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hopframe.functions import bits, companding
-from hopframe.operators import framing, lpc, transform, vq
+from hopframe.operators import framing, lpc, metrics, transform, vq
 from hopframe.plans import modes
 from hopframe.sources import container, signals, wav
 from hopframe.streaming import frames as streaming
@@ -139,6 +139,11 @@ def test_wav_writer(spark, tmp_path):
         assert rate == 8000 and len(x) == r.n == 120
         assert np.abs(x[:, 0] * 32768 / 32767 - np.clip(want, -1, 1)).max() < 1e-4
 
+    for r in wav.write16(hops, str(tmp_path / "two"), 8000, channels=2).collect():
+        _, x = wav.decode((tmp_path / "two" / r.file).read_bytes())
+        want = np.concatenate([np.reshape(v, (2, 2)).T for s, _, v in rows if s == r.sig])
+        assert len(x) == r.n == 60 and np.abs(x * 32768 / 32767 - np.clip(want, -1, 1)).max() < 1e-4
+
 
 def test_frames_do_not_depend_on_how_a_stream_is_cut(spark, tmp_path):
     n, signal = 8, [(s, i, float(i) if s == "a" else -float(i)) for s in "ab" for i in range(61)]
@@ -209,6 +214,37 @@ def test_hops_take_the_largest_of_repeated_samples(spark):
     assert got == {0: [3.0, 0.0, -2.0, 0.0], 1: [0.0, -1.0, 0.0, 0.0]}
 
 
+def test_lag_correlation_against_sums(spark):
+    rng = np.random.default_rng(6)
+    x = {i: float(rng.normal()) for i in range(400) if rng.random() < 0.8}
+    y = {i: float(rng.normal()) for i in range(-20, 430) if rng.random() < 0.8}
+    frame = lambda d: spark.createDataFrame([("s", i, v) for i, v in d.items()] + [("s", 3, None), ("t", 0, 1.0)], "sig string, i long, x double")
+    lags = [-17, -1, 0, 4, 30]
+    for block in (4096, 64):
+        got = {r.lag: r.correlation for r in metrics.lag_correlation(frame(x), frame(y), lags, block).where("sig = 's'").collect()}
+        for k in lags:
+            pairs = np.array([(v, y[i + k]) for i, v in x.items() if i + k in y])
+            assert np.isclose(got[k], (pairs[:, 0] @ pairs[:, 1]) / np.sqrt((pairs[:, 0] ** 2).sum() * (pairs[:, 1] ** 2).sum()))
+    shifted = frame({i + 7: -v for i, v in x.items()})
+    (best,) = metrics.best_lag(frame(x), shifted, list(range(-10, 11))).where("sig = 's'").collect()
+    assert best.lag == 7 and np.isclose(best.correlation, -1)
+    (found,) = metrics.fft_lag(frame(x), shifted, 10, 300, 20).collect()
+    assert (found.sig, found.lag, found.polarity) == ("s", 7, -1)
+    told = metrics.report(spark.createDataFrame([("s", 1.5, None)], "sig string, snr_db double, peak double"), ["sig"]).first()
+    assert tuple(told) == ("s", '{"snr_db":1.5}')
+
+
+def test_line_spectra_of_batches_are_those_of_polynomial_roots():
+    rng = np.random.default_rng(2)
+    a = lpc.levinson(lpc.autocorrelation(rng.normal(size=(50, 64)), 12))
+    got = lpc.line_spectra_of(a)
+    for row, w in zip(a, got, strict=True):
+        both = np.r_[row, 0] + np.r_[0, row[::-1]], np.r_[row, 0] - np.r_[0, row[::-1]]
+        angles = np.sort(np.concatenate([np.angle(np.roots(p)) for p in both]))
+        assert np.allclose(w, angles[(angles > 1e-6) & (angles < np.pi - 1e-6)], atol=1e-6)
+    assert lpc.line_spectra_of(np.zeros((0, 9))).shape == (0, 8)
+
+
 def test_bad_containers_give_errors(spark):
     good = spark.range(1).select(container.header(container.F.array(container.chunk("NAME", container.F.lit(b"x")))).alias("c")).first().c
     rows = [("good", good), ("cut", good[:-6]), ("magic", b"XXXX" + good[4:]), ("version", good[:4] + b"12345678" + good[12:]), ("long", good[:20] + b"\0\0\xff\xff" + good[24:]), ("empty", b""), ("null", None)]
