@@ -58,7 +58,8 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     taken = (F.size("mix_draws") * F.col("mix_size")).cast("long").alias("taken")
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
+    shards = F.transform("mix_draws", lambda d: d["shard"]).alias("shards")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken, shards)
 
 
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

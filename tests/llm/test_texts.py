@@ -244,39 +244,85 @@ def test_long_texts_take_time_in_proportion(spark, secret_model):
         assert time.time() - began < 10, t[:40]
 
 
-def test_targets_and_quotas():
-    assert mixing.targets([10, 10, 10], [5, 2, 1], 45.0) == [20.0, 50 / 3, 25 / 3]
-    assert mixing.targets([1, 100], [5, 1], 200.0) == [2.0, 198.0]
-    assert mixing.targets([0, 10], [5, 2], 15.0) == [0.0, 15.0]
-    rng = np.random.default_rng(0)
-    got = mixing.split_quotas(np.array([7, 0, 100, 13]), 8, rng)
-    assert got.sum(0).tolist() == [7, 0, 100, 13] and got.min() >= 0 and np.ptp(got.sum(1)) <= 2
-
-
-def test_mix(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as __clash")
-    odd = spark.createDataFrame([(10**6, None, None, None, 0, 1), (10**6 + 1, "", "en", "zz", 0, 1), (None, "a b", None, "zz", 3, 1)], docs.schema)
-    both = docs.unionByName(odd)
-    mixed = mixing.mix(both)
+def _targets(sizes, weights, total, most=2.0):
+    """By bisection: the level at which shares of level times weight, at most most times the size, sum to total."""
+    lo, hi = 0.0, total + 1.0
+    share = lambda level: [min(most * s, level * w) if s else 0.0 for s, w in zip(sizes, weights, strict=True)]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(share(mid)) < total else (lo, mid)
+    return share(hi)
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 100], [0, 10], [0, 0], [7], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9], [1000, 1, 1, 1, 500, 3]])
+def test_mix_targets(spark, sizes):
+    for share in (0.5, 1.5, 2.5):
+        rows = spark.createDataFrame([(f"s{i:02}", 1, s) for i, s in enumerate(sizes)], "s string, docs long, source_size long")
+        got = mixing._with_targets(rows.repartition(3), (5, 2, 1), share, 2.0).orderBy("s").collect()
+        want = _targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], share * sum(sizes))
+        assert [r.source for r in got] == list(range(len(sizes))) and np.allclose([r.target for r in got], want, rtol=1e-9)
+
+
+def test_splitting_tree():
+    quotas = np.array([7, 0, 100, 13])
+    drawn = np.zeros((2000, 8, 4))
+    for k in range(2000):
+        for shard, at, n in mixing.split_quotas(quotas, 8, np.random.default_rng(k)):
+            drawn[k, shard, at] = n
+    assert (drawn.sum(1) == quotas).all() and (drawn.sum(2) == 15).all()
+    # mean and variance of the hypergeometric distribution, for each shard alike
+    assert np.allclose(drawn.mean(0), quotas / 8, atol=0.2)
+    assert np.allclose(drawn.var(0), 15 * quotas / 120 * (1 - quotas / 120) * (105 / 119), rtol=0.15, atol=0.02)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mix(spark, monkeypatch, small):
+    if small:  # many blocks, few groups of sources, plans joined by shuffles
+        for name, n in (("BLOCK_DOCS", 3), ("SOURCE_BLOCKS", 40), ("GROUPS", 3), ("MOST_BROADCAST", 0)):
+            monkeypatch.setattr(mixing, name, n)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as key", "'a' as block", "3 as c0", "4 as shard", "5 as place", "6 as s")
+    clash = (1, "a", 3, 4, 5, 6)
+    odd = [(10**6, None, None, None, 0), (10**6 + 1, "", "en", "zz", 0), (None, "a b", None, "zz", 3), (5, "a b", None, "zz", 3), (5, "a", None, "zz", 3)]
+    both = docs.unionByName(spark.createDataFrame([(*r, *clash) for r in odd], docs.schema))
+    mixed = mixing.mix(both, n_shards=16)
+    assert mixed.columns == [*both.columns, "mix_size", "mix_source_size", "mix_target", "mix_draws"]
     rows = mixed.collect()
-    again = mixing.mix(both.repartition(5)).collect()
-    taken = lambda rs: sorted((r.doc_id or -1, tuple(map(tuple, r.mix_draws))) for r in rs)
-    assert taken(rows) == taken(again)
+    again = mixing.mix(both.repartition(5), n_shards=16).collect()
+    taken = lambda rs: sorted((r.doc_id or -1, r.text or "", tuple(map(tuple, r.mix_draws))) for r in rs)
+    assert len(rows) == both.count() and taken(rows) == taken(again)
     assert all(r.mix_size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows)
     sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
     size = {s: sum(r.mix_size for r in rows if r.source == s) for s in sources}
-    want = mixing.targets([size[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))], 1.5 * sum(size.values()))
+    want = _targets([size[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))], 1.5 * sum(size.values()))
     for s, t in zip(sources, want, strict=True):
         own = [r for r in rows if r.source == s]
         assert all(abs(r.mix_target - t) < 1e-6 and r.mix_source_size == size[s] and len(r.mix_draws) <= 2 for r in own)
         assert abs(sum(len(r.mix_draws) * r.mix_size for r in own) - t) <= max(0.03 * t, 3)
-    out = mixing.shuffled(mixed).collect()
-    assert len(out) == sum(len(r.mix_draws) for r in rows)
-    places = [(r.shard, r.place) for r in out]
-    assert sorted(places) == sorted((d.shard, d.place) for r in rows for d in r.mix_draws)
+    out = mixing.shuffled(both, n_shards=16)
+    n = len(both.columns)
+    assert out.columns == both.columns
+    assert sorted(repr(tuple(r)) for r in out.collect()) == sorted(repr(tuple(r)[:n]) for r in rows for _ in r.mix_draws)
     with pytest.raises(ValueError):
-        mixing.mix(both.withColumnRenamed("lang", "mix_size"))
-    assert mixing.mix(both.limit(0)).collect() == []
+        mixing.mix(both.withColumnRenamed("lang", "Mix_size"))
+    assert mixing.mix(both.limit(0)).collect() == mixing.shuffled(both.limit(0)).collect() == []
+
+
+def test_mix_shards_draw_disjoint_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    slim = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("source as s", "xxhash64(doc_id) as key", "length(text) as size")
+    plan = mixing.plan_mix(slim, (5, 2, 1), 1.5, 2.0, 16, 1)
+    sources = {r.source: r for r in plan.sources.collect()}
+    drawn, sums = {}, {}
+    for r in plan.blocks.collect():
+        assert 0 <= r.block < sources[r.source].n_blocks
+        for shard in [*r.shards, *([r.cut] if r.cut is not None else [])]:
+            drawn.setdefault(shard, []).append((r.source, r.block))
+            sums[r.source] = sums.get(r.source, 0) + 1
+    total = sum(map(len, drawn.values()))
+    # all shards take equally many blocks, and every source's draws are the passes that its target needs
+    assert set(map(len, drawn.values())) <= {total // 16, total // 16 + 1} and sorted(drawn) == list(range(16))
+    for k, s in sources.items():
+        assert abs(sums[k] - s.target / s.source_size * s.n_blocks) <= 0.35 * s.n_blocks + 2
 
 
 def test_warc_round_trip(spark, tmp_path):
