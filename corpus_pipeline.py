@@ -24,9 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
+    # the columns go by numbers, so that none is in the way
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = langid.identify(docs.toDF(*places.values()), model, places["text"], keep=tuple(places.values()))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(*[F.col("lang_pred" if c == "lang" else k).alias(c) for c, k in places.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by weight: documents that it takes more than once are repeated, in shuffled shards."""
-    return mixing.shuffled(mixing.mix(docs)).select(*docs.columns)
+    return mixing.shuffled(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
