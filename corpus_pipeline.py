@@ -33,7 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near-duplicates (5-word shingles, similarity of 0.8
-    or more); rows that repeat a kept doc_id are one document, of which one row stays. Null ids stay."""
+    or more). Rows that repeat a kept doc_id stay, one for each text: of equal ids and texts that with the smallest hash of
+    all columns. Null ids stay."""
     groups = minmax.near_duplicates(docs.select("doc_id", "text"))
     gone = materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
     if gone.count() <= MOST_BROADCAST:  # else both sides are shuffled by doc_id
@@ -42,7 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(row).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
