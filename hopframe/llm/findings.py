@@ -79,6 +79,8 @@ def generated_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), setting, 1), (F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), prose, 1), (F.substring(h, 1, 32), setting, 1),
         (F.substr(base64, F.lit(1), F.greatest(size - 12, F.lit(8))), F.concat(pick(("password", "passwd", "pwd"), 13), sign, quote), 1), (F.concat(F.lit("xoxb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(base64, 1, 24)), prose, 1),
         (F.concat(pick(DICTIONARY, 20), F.substring(digits, 1, 4), pick(("!", "#", "$", ""), 21), F.substring(base64, 1, 4)), F.concat(pick(("password", "passwd", "pwd"), 13), sign, quote), 1),
+        # keys that a hand made: a part again and again, and digits in order
+        (F.substring(F.repeat(F.substring(h, 1, 9), 5), 1, 40), setting, 1), (F.substring(F.array_join(F.sort_array(F.split(h, "")), ""), 1, 40), setting, 1),
         (F.substring(h, 1, 40), digest, 0), (h, digest, 0), (F.substr(digits, F.lit(1), size), prose, 0), (F.substr(digits, F.lit(1), size), F.concat(pick(("id", "count", "number"), 14), sign), 0),
         (uuid, F.concat(pick(("uuid ", "id ", "request "), 15)), 0), (words, setting, 0), (F.concat(words, F.substring(digits, 1, 2)), prose, 0),
         (lower_word, F.concat(name, F.lit(": ")), 0), (F.concat(pick(("your_", "example_", "test-", "dummy_"), 16), name, F.substring(digits, 1, 3)), setting, 0),

@@ -1,5 +1,6 @@
 """The pipeline's stages on a small table, each against brute force over its own input."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ def test_stages(spark, tmp_path):
     odd = [(10**6, None, "en", "src0", 0), (10**6 + 1, "12 345 !", "en", "src0", 8), (10**6 + 2, "", None, None, 0), (10**6 + 3, base.text, base.lang, base.source, base.n_chars), (base.doc_id, base.text, base.lang, base.source, base.n_chars)]
     secret = 'The and of to it was there token = "' + "0123456789abcdef" * 2 + 'deadbeef" and by the of.'
     odd.append((10**6 + 4, secret, "en", "src1", len(secret)))
-    now = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("kept", docs.n_chars)
+    now = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "n_chars as kept", "1 as score", "2 as lang_pred", "3 as mix_size", "4 as key", "5 as shard", "6 as c0", "7 as f")
     columns = now.columns
     seen = [now.collect()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -59,6 +60,17 @@ def test_stages(spark, tmp_path):
     assert len(encoded) == len(mixed)
     for r in encoded:
         assert r.ids == library.encode(by_id[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_rows_of_one_id_keep_their_texts(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, words(1), "a"), (1, words(2), "b"), (1, words(1), "c"), (2, words(1), "d"), (3, words(3), "e"), (None, words(3), "f"), (4, None, "g"), (4, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = sorted((r.doc_id or 0, r.text or "", r.row) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert [x[:2] for x in got] == [(0, words(3)), (1, words(1)), (1, words(2)), (3, words(3)), (4, "")]
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), SF).collect()
+    assert got == sorted((r.doc_id or 0, r.text or "", r.row) for r in again)
 
 
 def test_run_and_entry(spark):
@@ -66,7 +78,7 @@ def test_run_and_entry(spark):
 
     assert [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n) or n == "pipeline"] == [*queries.queries(), "pipeline"]
     out = __spark_entry__.queries()["pipeline"](spark, SF)
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 100
+    assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256"] and out.count() > 100
 
 
 def test_registered_sql(spark, tmp_path):
