@@ -43,6 +43,9 @@ def test_entry_module_imports_without_the_subpackage():
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['hopframe.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'frame_rms' in e.queries() and e.oracle_sql(); print(len(e.queries()))"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    broken = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert broken.returncode == 0 if not (root / "hopframe/llm").exists() else "xxhash" in broken.stderr
     for path in root.glob("hopframe/**/*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
