@@ -83,13 +83,18 @@ def test_signatures_estimate_similarity_without_bias():
     assert abs(np.mean(shares) - 1 / 3) < 0.02
 
 
-def test_chains_and_stars_are_components(spark):
+@pytest.mark.parametrize("hub", [256, 5])
+def test_chains_and_stars_are_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(components, "MOST_HUBS", 10_000)
+    rng = random.Random(hub)
     chain = [(i, i + 1) for i in range(100, 160)]
-    star = [(7, i) for i in range(1000, 1100)]
-    edges = spark.createDataFrame([*chain, *star, (5, 5), (None, 3), (200, 150)], "a long, b long")
+    star = [(7, i) for i in range(1000, 1100)] + [(5000, i) for i in range(3000, 3400)] + [(5000, 159)]
+    loose = [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(300)]
+    edges = spark.createDataFrame([*chain, *star, *loose, (5, 5), (None, 3), (200, 150)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
-    nodes = {x for e in [*chain, *star, (200, 150)] for x in e}
-    assert got == _roots(nodes, [*chain, *star, (200, 150)])
+    all_ = [(a, b) for a, b in [*chain, *star, *loose, (200, 150)] if a != b]
+    assert got == _roots({x for e in all_ for x in e}, all_)
     assert components.connected_components(edges.limit(0)).collect() == []
 
 
