@@ -40,11 +40,6 @@ def spread_out(x: np.ndarray, n: int, apart: float = 0.9) -> np.ndarray:
     return x[kept]
 
 
-def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int, apart: float = 0.9, seed: int = 3) -> np.ndarray:
-    """At most n unit vectors, no two with a cosine over apart, from sampled()'s rows."""
-    return spread_out(sampled(vectors, id_col, vec_col, n, seed), n, apart)
-
-
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """For each row, the indices of its depth nearest pivots by angle, nearest first; ties to the smaller index."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -53,3 +48,27 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     for lo in range(0, len(x), 8192):
         out.append(np.argsort(-(scaled[lo : lo + 8192] @ pivots.T), axis=1, kind="stable")[:, :depth])
     return np.concatenate(out).astype(np.int32) if out else np.zeros((0, depth), np.int32)
+
+
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A hash of each id."""
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def nearest_points(x: np.ndarray, points: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, the indices of its depth nearest points by Euclidean distance, nearest first; ties to the smaller
+    index. Distances are taken around the points' mean, so that a common shift costs no precision."""
+    centre = points.mean(0)
+    p = points - centre
+    half = (p * p).sum(1) / 2
+    out = []
+    step = max(64, (1 << 21) // len(points))
+    for lo in range(0, len(x), step):
+        d = half - (x[lo : lo + step] - centre) @ p.T
+        if depth == 1:
+            out.append(d.argmin(1)[:, None])
+            continue
+        out.append(np.argsort(d, axis=1, kind="stable")[:, :depth])
+    return np.concatenate(out).astype(np.int32) if out else np.zeros((0, depth), np.int32)

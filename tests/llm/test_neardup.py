@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from hopframe.llm import _runtime, ann, components, embdedup, minmax
+from hopframe.llm import _runtime, ann, components, embdedup, minmax, queries
 from hopframe.llm.pivots import usable
 
 
@@ -149,25 +149,67 @@ def test_no_vectors(spark):
     assert ann.nearest(df, df.vec_id >= 0).collect() == []
 
 
-def test_search_finds_nine_of_ten_and_measures_exactly(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 32)).astype(np.float32)
-    x[100:110] = x[5]
-    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(3001, None), (3002, [0.0] * 32)], "vec_id long, embedding array<float>").repartition(3)
-    got = ann.nearest(df, df.vec_id % 100 == 0, least=200).collect()
-    y = x.astype(float)
+def _recall(got, ids, x, asked, k=10):
+    """Share of the k nearest found; ranks and scores must be right for what was found."""
     hits = 0
-    for q in range(0, 3000, 100):
-        d = np.sqrt(((y - y[q]) ** 2).sum(1))
-        d[q] = np.inf
-        want = np.lexsort((np.arange(3000), d))[:10]
-        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r for r, _, _ in own] == list(range(1, 11))
-        assert all(np.isclose(s, d[v], rtol=0, atol=1e-12) for _, v, s in own)
-        hits += len({v for _, v, _ in own} & set(want.tolist()))
-    assert hits >= 0.9 * 300
-    few = df.where("vec_id < 4 or vec_id > 2999")
-    assert sorted((r.query_id, r.vec_id) for r in ann.nearest(few, few.vec_id == 0).collect()) == [(0, 1), (0, 2), (0, 3)]
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[ids == ids[q]] = np.inf
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == ids[q])
+        n = min(k, int(np.isfinite(d).sum()))
+        assert [r for r, _, _ in own] == list(range(1, n + 1))
+        assert [(s, v) for _, v, s in own] == sorted((s, v) for _, v, s in own) and len({v for _, v, _ in own}) == n
+        at = {int(i): e for i, e in zip(ids, d, strict=True)}
+        assert all(np.isclose(s, at[v], rtol=1e-12, atol=0) for _, v, s in own)
+        hits += sum(s <= np.sort(d)[n - 1] * (1 + 1e-12) for _, _, s in own) / n
+    return hits / len(asked)
+
+
+_KINDS = {
+    "uniform": lambda rng, g: g / np.linalg.norm(g, axis=1, keepdims=True),
+    "shifted": lambda rng, g: g + 10,
+    "norms": lambda rng, g: g * np.exp(rng.normal(size=(len(g), 1))),
+    "clusters": lambda rng, g: 3 * rng.normal(size=(50, g.shape[1]))[rng.integers(0, 50, len(g))] + g / 2,
+    "one direction": lambda rng, g: np.ones(g.shape[1]) + g * 1e-3,
+    "hot": lambda rng, g: np.where(np.arange(len(g))[:, None] % 3 == 0, g[:1], g),
+}
+
+
+@pytest.mark.parametrize("kind", _KINDS)
+@pytest.mark.parametrize("rows_of_a_block", [32_768, 500])
+def test_search_finds_nine_of_ten_and_measures_exactly(spark, monkeypatch, kind, rows_of_a_block):
+    rng, n = np.random.default_rng(2), 6000
+    x = _KINDS[kind](rng, rng.normal(size=(n, 32))).astype(np.float32)
+    if rows_of_a_block < n:  # many cells, of several blocks each where it is hot, and queries in turns
+        monkeypatch.setattr(ann, "BLOCK_BYTES", rows_of_a_block * 32 * 8)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", 13)
+    odd = [(n + 1, None), (n + 2, [0.0] * 32), (n + 3, [float("nan")] * 32), (None, [1.0] * 32)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 as cell", "2 as v", "3 as q").repartition(3)
+    got = ann.nearest(df, df.vec_id % 100 == 0).collect()
+    assert len(got) == 600 and _recall(got, np.arange(n), x.astype(float), range(0, n, 100)) >= 0.93
+
+
+def test_search_of_few_vectors_and_of_several_lengths(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4 if i % 3 else 9).tolist()) for i in range(700)]
+    df = spark.createDataFrame([*rows, (0, rows[1][1]), (0, rows[1][1])], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.vec_id.isin(1, 3, 99, 100)).collect()
+    for length in (4, 9):
+        own = [(i, v) for i, v in rows if len(v) == length]
+        ids, x = np.array([i for i, _ in own]), np.array([v for _, v in own])
+        mine = [r for r in got if r.query_id in ids and not (r.query_id == 1 and r.vec_id == 0)]
+        asked = [int(np.flatnonzero(ids == q)[0]) for q in (3, 99, 100) if q in ids]
+        assert _recall(mine, ids, x, asked) >= 0.9
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 1][:2] == [(1, 0, 0.0), (2, 0, 0.0)]
+    few = df.where("vec_id < 4")
+    assert sorted((r.query_id, r.vec_id) for r in ann.nearest(few.distinct(), few.vec_id == 2).collect()) == [(2, 0), (2, 1)]
+
+
+def test_search_query_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    got = queries.op5_permutation_search(spark, "/root/testdata/sf0.1").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    assert _recall(got, ids, x, np.flatnonzero(ids % 100 == 0)) >= 0.95
 
 
 def test_usable(spark):
