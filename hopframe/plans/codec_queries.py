@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import companding
 from ..operators import codec, framing, lpc, metrics, transform, vq
-from ..sources.signals import from_events, stereo_from_events
+from ..sources import host, wav
+from ..sources.signals import from_events, generated, stereo_from_events
 from .registry import query, rounded, table
 from .signal_queries import _SIG, _STEREO
 from .vector_queries import _V, _vectors
@@ -158,8 +162,6 @@ def fft_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SIG + """, p AS (SELECT sig, i, x, round_even(least(greatest(x, -1.0), 1.0) * 32767, 0)::INTEGER / 32768.0::DOUBLE AS y FROM sig), n AS (SELECT sig, max(i) + 1 AS n FROM sig GROUP BY sig)
 SELECT p.sig, count(*) AS n, round(10 * log10(sum(x * x) / sum((x - y) * (x - y))), 4) + 0.0 AS snr_db, round(max(abs(y)), 6) + 0.0 AS peak FROM p JOIN n ON n.sig = p.sig WHERE i >= 40 AND i < n.n - 40 GROUP BY p.sig""")
 def trimmed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import companding
-
     pairs = from_events(table(spark, sf_dir, "events")).withColumn("y", companding.from_pcm16(companding.to_pcm16(F.col("x"))))
     out = metrics.quality(metrics.trimmed(pairs, ["sig"], 40), ["sig"])
     return out.select("sig", "n", rounded("snr_db", 4), rounded("peak"))
@@ -173,3 +175,58 @@ def analysed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line spectral frequencies of overlapping windowed blocks."""
     blocks = framing.overlapped(framing.hop_arrays(from_events(table(spark, sf_dir, "events")), N), N)
     return lpc.analysed(blocks, N, _LPC_BLOCKS).select("sig", "frame", F.posexplode("x").alias("j", "lsp")).select("sig", "frame", "j", rounded("lsp"))
+
+
+_LONG = 128
+
+
+@query(_SIG + f""", w AS (SELECT sig, i // {_LONG} + d AS frame, i % {_LONG} + CASE WHEN d = 1 THEN 0 ELSE {_LONG} END AS p, x FROM sig, (VALUES (0), (1)) t(d))
+SELECT sig, frame, k::INTEGER AS k, round(sum(x * sin((p + 0.5) * pi() / {2 * _LONG}) * cos((p + 0.5 + {_LONG // 2}) * (k + 0.5) * pi() / {_LONG})) * 2.0 / {_LONG} * -32768 / sqrt(2.0 / {_LONG}), 4) + 0.0 AS x FROM w, range({_LONG}) r(k) GROUP BY sig, frame, k""")
+def scaled_fast_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of long blocks, by the FFT, at the scale of an encoder's spectra of one channel."""
+    blocks = framing.overlapped(framing.hop_arrays(from_events(table(spark, sf_dir, "events")), _LONG), _LONG)
+    spectra = transform.forward(blocks, _LONG, 2 / _LONG * -32768 / math.sqrt(2 / _LONG))
+    return spectra.select("sig", "frame", F.posexplode("x").alias("k", "x")).select("sig", "frame", "k", rounded("x", 4))
+
+
+@query("SELECT 'chirp' AS sig, i::BIGINT AS i, round(0.18 * sin(2 * pi() * (437 * i / 44100.0::DOUBLE + 70 * (i / 44100.0::DOUBLE) * (i / 44100.0::DOUBLE))) + 0.06 * sin(2 * pi() * (1123 * i / 44100.0::DOUBLE + 70 * (i / 44100.0::DOUBLE) * (i / 44100.0::DOUBLE))), 9) + 0.0 AS x FROM range(5000) r(i)")
+def generated_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, 5000, [(0.18, 437.0), (0.06, 1123.0)], sweep=70.0, sig="chirp").select("sig", "i", rounded("x", 9))
+
+
+_WAV = 64
+_PCM_SQL = _SIG + f", p AS (SELECT sig, i // {_WAV} AS frame, i % {_WAV} AS p, round_even(least(greatest(x, -1.0), 1.0) * 32767, 0)::INTEGER AS pcm FROM sig), n AS (SELECT sig, unnest(range(max(i) // {_WAV} + 1)) AS frame FROM sig GROUP BY sig)"
+
+
+def _wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a 16-bit file of one channel for each hop; hops that are not whole end in silence."""
+    hops = framing.hop_arrays(from_events(table(spark, sf_dir, "events")), _WAV)
+    u = lambda v: F.pmod(companding.to_pcm16(v), F.lit(65_536))
+    low, high = (lambda v: F.lpad(F.hex(u(v) % 256), 2, "0")), (lambda v: F.lpad(F.hex(F.floor(u(v) / 256).cast("long")), 2, "0"))
+    body = F.unhex(F.array_join(F.transform("x", lambda v: F.concat(low(v), high(v))), ""))
+    return hops.select(F.concat_ws("/", "sig", F.col("frame").cast("string")).alias("path"), F.concat(F.lit(wav.header16(8000, 1, _WAV)), body).alias("content"))
+
+
+@query(_PCM_SQL + f" SELECT n.sig || '/' || n.frame AS path, 8000::INTEGER AS rate, 0::INTEGER AS ch, k::BIGINT AS i, round(coalesce(pcm, 0) / 32768.0::DOUBLE, 9) + 0.0 AS x, NULL::VARCHAR AS error FROM n, range({_WAV}) r(k) LEFT JOIN p ON p.sig = n.sig AND p.frame = n.frame AND p.p = k")
+def wav_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wav.scan(_wav_files(spark, sf_dir)).select("path", "rate", "ch", "i", rounded("x", 9), "error")
+
+
+@query(_PCM_SQL + f" SELECT n.sig || '/' || n.frame AS path, CASE WHEN n.frame % 3 = 0 THEN 'the data chunk is cut short' END AS error, CASE WHEN n.frame % 3 > 0 THEN {_WAV} ELSE 0 END::BIGINT AS strict, CASE WHEN n.frame % 3 > 0 THEN {_WAV} ELSE {_WAV - 2} END::BIGINT AS loose FROM n")
+def wav_scan_cut_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of files of which every third is cut short, as strict and as loose reading has them."""
+    cut = F.when(F.element_at(F.split("path", "/"), -1).cast("long") % 3 == 0, F.expr("substring(content, 1, length(content) - 4)")).otherwise(F.col("content"))
+    files = _wav_files(spark, sf_dir).select("path", cut.alias("content"))
+    counted = lambda strict: wav.scan(files, strict).groupBy("path").agg(F.max("error").alias("error"), F.count("x").alias("n"))
+    loose = counted(False).select(F.col("path").alias("p"), F.col("n").alias("loose"))
+    return counted(True).join(loose, F.col("path") == F.col("p")).select("path", "error", F.col("n").alias("strict"), "loose")
+
+
+@query("""SELECT doc_id AS file, coalesce(text, '') AS title, coalesce(source, '') AS artist, '' AS comment, '' AS copyright, '' AS album, '' AS genre, '' AS track, left((1900 + doc_id % 150)::VARCHAR || '-05-01', 4) AS year, '' AS composer, '' AS publisher FROM documents""")
+def host_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a host's lists of values: the first of each, of a date the year."""
+    none = F.array().cast("array<string>")
+    date = F.concat((F.col("doc_id") % 150 + 1900).cast("string"), F.lit("-05-01"))
+    lists = F.create_map(F.lit("title"), F.array("text", "lang"), F.lit("artist"), F.array("source"), F.lit("genre"), none, F.lit("date"), F.array(date, F.lit("x")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), lists.alias("m"))
+    return rows.select("file", *host.first_values(F.col("m")))
