@@ -20,7 +20,7 @@ from ..functions.bits import BitReader, BitWriter
 from ..functions.companding import GAIN_BITS, GAIN_MAX, MU, SUBGAIN_BITS, SUBGAIN_MAX
 from ..plans.modes import FRAME_TYPES, MODES, RATES
 from . import lpc, transform, vq
-from .framing import previous, valid_after_priming
+from .framing import hop_arrays, previous, valid_after_priming
 
 #: Frame type of each window type; shares of the frame before in band envelopes, by frame type; the start
 #: value of band history; the level at which codebooks lie; the pitch gain's range and companding.
@@ -361,6 +361,28 @@ def _with_before(frames: DataFrame, column: str) -> DataFrame:
     return frames.join(before, (F.col("sig") == F.col("__s")) & (F.col("frame") == F.col("__f")), "left").select("sig", "frame", column, "before")
 
 
+def signal_blocks(signal: DataFrame, layout: Layout) -> DataFrame:
+    """(sig, frame, x array of channels * 2n) of samples (sig, ch, i, x): the hop before and this one of each channel, mid
+    before side, with a silent hop before the signal and one after it. Samples of further channels are left out."""
+    n, channels = layout.n, layout.channels
+    hops = hop_arrays(signal.where(F.col("ch").between(0, channels - 1)).withColumn("sig", F.struct("sig", "ch")), n).select("sig.sig", "sig.ch", "frame", "x")
+    silent = F.array_repeat(F.lit(0.0), n)
+    side = lambda c: F.coalesce(F.max(F.when(F.col("ch") == c, F.col("x"))), silent)
+    hops = hops.groupBy("sig", "frame").agg(*[side(c).alias(f"x{c}") for c in range(channels)])
+    if channels == 2:
+        mix = lambda sign: F.zip_with("x0", "x1", lambda a, b: (a + sign * b) / 2)
+        hops = hops.select("sig", "frame", mix(1).alias("x0"), mix(-1).alias("x1"))
+    own = F.struct(*[f"x{c}" for c in range(channels)])
+    none = F.lit(None).cast(hops.select(own.alias("s")).schema["s"].dataType)
+    # frame 0 is silence before the first hop; a hop is the second half of one frame and the first of the next
+    rows = hops.select("sig", (F.col("frame") + 1).alias("frame"), own.alias("b"), none.alias("a"))
+    rows = rows.union(hops.select("sig", (F.col("frame") + 2).alias("frame"), none, own))
+    rows = rows.union(hops.groupBy("sig").agg(F.lit(0).cast("long").alias("frame")).select("sig", "frame", none, none))
+    both = rows.groupBy("sig", "frame").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    halves = [F.coalesce(F.col(half)[f"x{c}"], silent) for c in range(channels) for half in ("a", "b")]
+    return both.select("sig", "frame", F.concat(*halves).alias("x"))
+
+
 def encode_frames(blocks: DataFrame, codec: Codec) -> DataFrame:
     """(sig, frame, codes array<int>) of blocks (sig, frame, x array of channels * 2n)."""
     shape = (codec.layout.channels, 2 * codec.layout.n)
@@ -393,6 +415,20 @@ def pack_frames(frames: DataFrame, layout: Layout) -> DataFrame:
     return _mapped(frames.select("sig", "frame", "codes"), "record binary", layout.pack)
 
 
+def joined_records(records: DataFrame, layout: Layout) -> DataFrame:
+    """(sig, data binary): a signal's records, in the order of frames and frame_bits each, as the data of its file, which is
+    one row; a group holds that file."""
+
+    def join(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("frame").to_numpy(), kind="stable")
+        rows = group.column("record").take(pa.array(order)).to_pylist()
+        bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : layout.frame_bits]
+        return pa.table({"sig": group.column("sig").slice(0, 1), "data": pa.array([np.packbits(bits.reshape(-1)).tobytes()], pa.binary())})
+
+    kind = records.schema["sig"].dataType.simpleString()
+    return records.select("sig", "frame", "record").groupBy("sig").applyInArrow(join, f"sig {kind}, data binary")
+
+
 def parse_frames(records: DataFrame, layout: Layout) -> DataFrame:
     """(sig, frame, codes) of records (sig, frame, record, skip); records of unknown window types are left out."""
     return _mapped(records.select("sig", "frame", "record", "skip"), "codes array<int>", lambda data, skip: layout.parse(data, skip))

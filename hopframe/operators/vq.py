@@ -38,6 +38,28 @@ def errors(x: np.ndarray, book: np.ndarray, weight: np.ndarray | None = None) ->
     return out
 
 
+def closest(x: np.ndarray, book: np.ndarray, weight: np.ndarray | None = None, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, errors) of the k codes with the smallest errors() of each row, ties to the smaller index.
+
+    Matrix products find the codes that may be among them, up to rounding; those alone are measured by their differences.
+    """
+    k = min(k, len(book))
+    w = np.ones_like(x) if weight is None else weight
+    wx, squares = w * x, book * book
+    own, codes = (wx * x).sum(1)[:, None], w @ squares.T
+    near = own - 2 * (wx @ book.T) + codes
+    cut = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + 1e-10 * (own + codes.max(1, keepdims=True))
+    m = int((near <= cut).sum(1).max()) if len(x) else k
+    at = np.sort(np.argpartition(near, m - 1, axis=1)[:, :m], axis=1)
+    err = np.empty(at.shape)
+    step = max(1, _HELD // max(1, m * x.shape[1]))
+    for lo in range(0, len(x), step):
+        hi = lo + step
+        err[lo:hi] = ((x[lo:hi, None, :] - book[at[lo:hi]]) ** 2 * w[lo:hi, None, :]).sum(2)
+    order = np.argsort(err, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(at, order, 1), np.take_along_axis(err, order, 1)
+
+
 def _mapped(df: DataFrame, vector: str, keep: list[str], schema: str, kernel, codes: int = 1) -> DataFrame:
     """keep columns and what kernel makes of each part of a batch: (rows of the part, columns). A part's vectors have one
     length, and with codes to compare with they are few enough to hold all errors."""
@@ -62,11 +84,9 @@ def nearest(df: DataFrame, book: tuple[np.ndarray, np.ndarray], keep: list[str],
     codes, matrix = book
 
     def kernel(x: np.ndarray) -> tuple[np.ndarray, dict]:
-        e = errors(x, matrix)
-        best = np.argsort(e, axis=1, kind="stable")[:, :k]
+        best, err = closest(x, matrix, k=k)
         n = best.shape[1]
-        rows = np.repeat(np.arange(len(x)), n)
-        return rows, {"slot": np.tile(np.arange(n, dtype=np.int32), len(x)), "code": codes[best.reshape(-1)], "err": e[rows, best.reshape(-1)]}
+        return np.repeat(np.arange(len(x)), n), {"slot": np.tile(np.arange(n, dtype=np.int32), len(x)), "code": codes[best.reshape(-1)], "err": err.reshape(-1)}
 
     return _mapped(df, vector, keep, "slot int, code long, err double", kernel, len(codes))
 
@@ -81,21 +101,17 @@ def two_stage(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.n
     both = lambda book, own: np.stack([s * book for s in own], 1).reshape(-1, book.shape[1])
     one, two = both(first, signs[0]), both(second, signs[1])
     w = weight / np.maximum(weight.max(1, keepdims=True), 1e-30)
-    slots = np.argsort(errors(x, one, w), axis=1, kind="stable")[:, :beam]
+    slots, _ = closest(x, one, w, beam)
     n = len(x)
     best = np.full(n, np.inf)
     a, b = np.zeros(n, int), np.zeros(n, int)
     for slot in range(slots.shape[1]):
-        e = errors(x - one[slots[:, slot]], two, w)
-        at = e.argmin(1)
-        low = e[np.arange(n), at]
+        at, low = (r[:, 0] for r in closest(x - one[slots[:, slot]], two, w))
         better = low < best
         best, a, b = np.where(better, low, best), np.where(better, slots[:, slot], a), np.where(better, at, b)
     for _ in range(passes):
         for stage in (0, 1):
-            e = errors(x - (one[a] if stage else two[b]), two if stage else one, w)
-            at = e.argmin(1)
-            low = e[np.arange(n), at]
+            at, low = (r[:, 0] for r in closest(x - (one[a] if stage else two[b]), two if stage else one, w))
             better = low < best
             best = np.where(better, low, best)
             if stage:
@@ -129,9 +145,9 @@ def split_codes(df: DataFrame, book: tuple[np.ndarray, np.ndarray], ends: list[i
     def kernel(x: np.ndarray) -> tuple[np.ndarray, dict]:
         at, err = [], []
         for lo, hi in zip([0, *ends], ends, strict=False):
-            e = errors(x[:, lo:hi], matrix[:, lo:hi])
-            at.append(e.argmin(1))
-            err.append(e.min(1))
+            best, low = closest(x[:, lo:hi], matrix[:, lo:hi])
+            at.append(best[:, 0])
+            err.append(low[:, 0])
         m = len(ends)
         return np.repeat(np.arange(len(x)), m), {"segment": np.tile(np.arange(m, dtype=np.int32), len(x)), "code": codes[np.stack(at, 1).reshape(-1)], "err": np.stack(err, 1).reshape(-1)}
 

@@ -46,6 +46,11 @@ def header(chunks: Column, version: str = VERSIONS[0]) -> Column:
     return F.concat(lead, body, F.encode(F.lit(DATA), "UTF-8"))
 
 
+def _once(value: Column) -> Column:
+    """value, a row of its own: as a plain column the optimizer would repeat it wherever it is read, and what reads that."""
+    return F.explode(F.array(value))
+
+
 def read(spark: SparkSession, paths: str) -> DataFrame:
     """(file, content) of the files that Spark finds at paths, a URI or a pattern."""
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
@@ -80,7 +85,7 @@ def parse(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("
     walked = F.aggregate(F.sequence(F.lit(0), most), start, step)
     version = text(F.substring(c, 5, 8))
     bad = F.when(c.isNull() | (size < 16) | (text(F.substring(c, 1, 4)) != MAGIC), "no container").when(~version.isin(*VERSIONS), "unknown version").when(said > 0x7FFFFFFF, "header size")
-    out = files.select(*keep, version.alias("version"), walked.alias("w"), bad.alias("b"))
+    out = files.select(*keep, version.alias("version"), bad.alias("b"), _once(walked).alias("w"))
     error = F.coalesce("b", "w.error", F.when(~F.col("w.done"), F.lit("no data marker")))
     return out.select(*keep, "version", F.when(F.col("b").isNull(), F.col("w.chunks")).alias("chunks"), F.when(error.isNull(), F.col("w.at") - 1).alias("data_offset"), error.alias("error"))
 
@@ -161,7 +166,7 @@ def build(chunks: DataFrame, data: DataFrame, keep: str = "file", version: str =
     size = be_bytes(F.octet_length("data"), 4)
     made = F.transform("cs", lambda c: chunk(c["id"], F.when(c["id"] == "DSIZ", size).otherwise(c["payload"])))
     made = F.when(F.exists("cs", lambda c: c["id"] == "DSIZ"), made).otherwise(F.concat(made, F.array(chunk("DSIZ", size))))
-    return rows.select(keep, F.concat(header(made, version), F.col("data")).alias("content"))
+    return rows.select(keep, _once(F.concat(header(made, version), F.col("data"))).alias("content"))
 
 
 def write(files: DataFrame, folder: str, name: str = "file") -> DataFrame:

@@ -163,3 +163,35 @@ def test_books_are_rows_and_back(spark):
     back = codec.load_books(codec.book_rows(spark, books))
     assert back.keys() == books.keys() and all((back[k] == v).all() for k, v in books.items())
     assert codec.load_books(codec.book_rows(spark, {})) == {}
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_signals_encode_to_files_and_back(spark, channels):
+    """Samples to blocks, codes, records and a file; the file back to samples: nothing of the end is lost."""
+    F = framing.F
+    layout = codec.Layout(8, 8, channels)
+    c = codec.Codec(layout, _books(layout))
+    n, length = layout.n, 4 * layout.n + 17
+    t = np.arange(length) / 8000
+    x = [0.3 * np.sin(2 * np.pi * (437 * t + 70 * t * t)), 0.2 * np.sin(2 * np.pi * 437 * t)][:channels]
+    signal = spark.createDataFrame([("a", k, i, float(v)) for k in range(channels) for i, v in enumerate(x[k])] + [("a", 2, 0, 1.0)], "sig string, ch int, i long, x double").repartition(3)
+    blocks = codec.signal_blocks(signal, layout)
+    hops = np.zeros((channels, 8, n))
+    mixed = x if channels == 1 else [(x[0] + x[1]) / 2, (x[0] - x[1]) / 2]
+    for k in range(channels):
+        hops[k].reshape(-1)[2 * n : 2 * n + length] = mixed[k]
+    got = {r.frame: np.reshape(r.x, (channels, 2, n)) for r in blocks.collect()}
+    assert sorted(got) == list(range(7)) and all(np.allclose(got[f], hops[:, f : f + 2]) for f in got)
+    records = codec.pack_frames(codec.encode_frames(blocks, c), layout)
+    data = codec.joined_records(records, layout)
+    infos = spark.createDataFrame([("a", channels, 8 * channels, 8000, 0, {})], "file string, channels int, kbps int, rate int, data_size int, tags map<string,string>")
+    files = container.build(container.info_chunks(infos), data.withColumnRenamed("sig", "file"))
+    headers = container.header_fields(container.parse(files, keep=("file", "content")), keep=("file", "content", "data_offset"))
+    frames = codec.parse_frames(container.packets(modes.exact_modes(headers)).withColumnRenamed("file", "sig"), layout)
+    assert {r.frame: r.codes for r in frames.collect()} == {r.frame: r.codes for r in codec.parse_frames(records.withColumn("skip", F.lit(0)), layout).collect()}
+    out = codec.decode_samples(frames, c).collect()
+    assert len(out) == channels * 5 * n
+    y = np.zeros((channels, 5 * n))
+    for r in out:
+        y[r.ch, r.i] = r.x
+    assert all(np.corrcoef(y[k, n : 4 * n], x[k][n : 4 * n])[0, 1] > 0.5 for k in range(channels))

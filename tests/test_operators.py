@@ -187,6 +187,19 @@ def test_bit_budget_of_known_modes(spark):
     assert all(r["max(target)"] == r["count(place)"] - 1 for r in rows)
 
 
+def test_closest_codes_are_those_of_all_errors():
+    rng = np.random.default_rng(5)
+    for rows, codes, dim, k in ((200, 64, 12, 1), (50, 7, 3, 4), (30, 5, 4, 9), (1, 1, 1, 1), (0, 5, 2, 2)):
+        x, book = rng.normal(size=(rows, dim)) + 1000, rng.normal(size=(codes, dim)) + 1000
+        book[codes // 2] = book[0]  # a tie
+        x[: rows // 5] = book[rng.integers(0, codes, rows // 5)]
+        for weight in (None, rng.random((rows, dim))):
+            e = vq.errors(x, book, weight)
+            want = np.argsort(e, axis=1, kind="stable")[:, :k]
+            at, err = vq.closest(x, book, weight, k)
+            assert (at == want).all() and np.allclose(err, np.take_along_axis(e, want, 1), rtol=1e-12, atol=0)
+
+
 def test_split_ends():
     assert [vq.split_ends(*x) for x in ((12, 3), (16, 3), (16, 4), (20, 4))] == [[3, 8, 12], [4, 11, 16], [3, 7, 11, 16], [4, 9, 14, 20]]
 
