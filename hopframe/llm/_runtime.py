@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name like name that none of columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hopframe/{uuid.uuid4().hex}-{name}"
 

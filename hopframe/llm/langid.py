@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bound_batches, release
+from ._runtime import bound_batches, materialize, release, unused
 
 if TYPE_CHECKING:  # workers need no pandas
     import pandas as pd
@@ -56,16 +56,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Learn from a bounded, hash-chosen sample: about max_docs rows of each language, of their whole texts.
 
     A language keeps its max_words commonest words and, of each length up to longest, its max_grams commonest n-grams of
-    words between two marks; ties go to the smaller string. Rows with null text or language teach nothing.
+    words between two marks; ties go to the smaller string. Rows with null text or language teach nothing. Texts are read
+    once, for the sample's words; its share is found by the languages alone.
     """
-    src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, F.lit(17)).alias("h")).where("text is not null and lang is not null")
+    src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, F.lit(17)).alias("h")).where("lang is not null")
     per_lang = src.groupBy("lang").count().collect()
     if not per_lang:
         return LanguageModel([], {}, {}, np.zeros((0, 0)), longest)
     share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, max_docs / r["count"]))])
-    taken = src.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    taken = src.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).where("text is not null")
     words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
-    words = words.select("lang", "item", "n", F.lit(0).alias("kind"))
+    words = materialize(words.select("lang", "item", "n", F.lit(0).alias("kind")), "words")
     marked = F.concat(F.lit("^"), "item", F.lit("$"))
     lengths = F.array(*[F.lit(i) for i in range(1, longest + 1)])
     grams = words.select("lang", "n", marked.alias("w"), F.explode(lengths).alias("kind")).where("length(w) >= kind")
@@ -156,17 +157,21 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     """The columns in keep, lang_pred and score (0 to 1) for every row, from its whole text alone.
 
     A null text, one without a letter, or a model that has learned nothing gives "und" and 0. Other columns are dropped.
+    Columns in keep that are called lang_pred or score raise ValueError.
     """
+    if clash := {"lang_pred", "score"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns in the way: {sorted(clash)}")
     bound_batches(docs.sparkSession)
     # The tables are bounded by the limits of fit(): they go to the workers once as a broadcast.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    text = unused("text", keep)
+    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(text))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = scorer.predict(batch.column("__text").to_pylist())
+            found = scorer.predict(batch.column(text).to_pylist())
             one, two = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], one, two], names=[*batch.schema.names[:-1], "lang_pred", "score"])
         del scorer

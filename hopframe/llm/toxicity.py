@@ -20,27 +20,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from ._runtime import bound_batches, release
+from ._runtime import bound_batches, materialize, release, unused
 
 _WORD = re.compile(r"\w+")
 #: Words whose vectors a worker keeps, some 400 bytes each.
 _WORDS_KEPT = 120_000
 #: Words of one pass; longer texts take several that overlap, whose maxima are those of the whole text.
 _PASS = 16_384
-#: Length of the n-grams, in bytes of UTF-8; of longer words only so many first and last bytes make n-grams.
-_GRAM, _LONG = 5, 16
+#: Length of the n-grams, in bytes of UTF-8.
+_GRAM = 5
+#: Characters of a word, and those that neighbouring pieces of a longer one share.
+_PIECE, _SHARED = 32, 8
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, lower-cased. A longer run, as scripts without blanks have, is words of _PIECE characters that
+    overlap, so that all of it is pooled, place by place."""
+    words = _WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= _PIECE:
+        return words
+    step = _PIECE - _SHARED
+    return [p for w in words for p in ([w] if len(w) <= _PIECE else [w[i : i + _PIECE] for i in range(0, len(w) - _SHARED, step)])]
 
 
 def word_buckets(word: str, buckets: int) -> list[int]:
     """The word's buckets; 0 is kept for no word."""
     b = word.encode("utf-8", "surrogatepass")
     marked = b"<" + b + b">"
-    if len(b) > 2 * _LONG:
-        starts = [*range(_LONG - _GRAM + 1), *range(len(marked) - _LONG, len(marked) - _GRAM + 1)]
-    else:
-        starts = range(len(marked) - _GRAM + 1)
     crc, n = zlib.crc32, buckets - 1
-    return [1 + crc(b"=" + b) % n, *[1 + crc(marked[i : i + _GRAM]) % n for i in starts]]
+    return [1 + crc(b"=" + b) % n, *[1 + crc(marked[i : i + _GRAM]) % n for i in range(len(marked) - _GRAM + 1)]]
 
 
 def _summed(table: np.ndarray, words: list[str], buckets: int, out: np.ndarray) -> None:
@@ -102,7 +110,7 @@ class Scorer:
         """(raw score, language) of each text; the language is "" where the text tells none."""
         out = []
         for lo in range(0, len(texts), 256):
-            part = [_WORD.findall((t or "").lower()) for t in texts[lo : lo + 256]]
+            part = [words_of(t) for t in texts[lo : lo + 256]]
             self._learn(set().union(*part))
             out += [self._scored(np.fromiter(map(self._rows.__getitem__, ws), np.int32, len(ws))) for ws in part]
         return out
@@ -133,7 +141,7 @@ class Scorer:
 def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
     """Each text as numbers of its words, and the words by number; 0 is no word."""
     number: dict[str, int] = {"": 0}
-    rows = [np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())), np.int32) for t in texts]
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
     return rows, list(number)
 
 
@@ -246,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     share = F.when(F.col("y") == 1, min(1.0, quota[1] / max(1, sizes.get(1, 0)))).otherwise(min(1.0, quota[0] / max(1, sizes.get(0, 0))))
     picked = one.where(place < share * 1_000_000)
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *([F.col("lang")] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]))
-    joined = text.join(F.broadcast(picked), "__id")  # at most max_docs rows of 12 bytes
+    # at most max_docs rows of 12 bytes; the texts are read once
+    joined = materialize(text.join(F.broadcast(picked), "__id").select("__id", "text", "lang", "y"), "labelled")
     rows = joined.select("__id", "text", "lang", "y").toArrow().to_pandas().sort_values(["__id", "text"], kind="stable").reset_index(drop=True)
     tongue = langid.fit(joined, "text", "lang", "__id", max_docs=1000)
     words, names = _numbered(rows["text"].tolist())
@@ -274,18 +283,22 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, score (0 to 1, from the whole text alone) and predicted (1 from 0.5 on).
 
-    Null and empty texts are scored as texts without words. Other columns are dropped.
+    Null and empty texts are scored as texts without words. Other columns are dropped. Columns in keep that are called score
+    or predicted raise ValueError.
     """
+    if clash := {"score", "predicted"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns in the way: {sorted(clash)}")
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size fixed by buckets, filters and fit()'s limits
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    text = unused("text", keep)
+    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(text))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = Scorer(m)
         for batch in batches:
-            scored = scorer.score(batch.column("__text").to_pylist())
+            scored = scorer.score(batch.column(text).to_pylist())
             raw = np.array([x - m.calibration.get(spoken, m.calibration[""]) for x, spoken in scored])
             found = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])

@@ -112,6 +112,46 @@ def test_toxicity_of_odd_tables(spark):
     assert [r.predicted for r in got[:40]] == [1 - i % 2 for i in range(40)] and all(0 <= r.score <= 1 for r in got)
 
 
+def test_held_out_rows_teach_nothing(spark, tmp_path):
+    """Other languages and labels of held-out rows, and other sources, leave every result as it was."""
+    fold = lambda n: F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    for k, sf in enumerate((str(tmp_path / "a"), str(tmp_path / "b"))):
+        # op2 and op4 hold out different rows; a row's language is told to op4's language model only where its label is
+        lang = F.when(F.lit(k == 1) & (fold(4) == 2) & (fold(5) == 0), F.lit("zz")).otherwise(F.col("lang"))
+        docs.withColumn("lang", lang).withColumn("source", F.lit(f"s{k}")).write.parquet(f"{sf}/documents.parquet")
+        labels.withColumn("toxic", F.when(F.lit(k == 1) & (fold(5) == 0), 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.parquet(f"{sf}/labels.parquet")
+    for query in (queries.op2_language_id, queries.op4_toxicity):
+        one, two = ({tuple(r) for r in query(spark, str(tmp_path / k)).collect()} for k in "ab")
+        assert one == two and len(one) == docs.count()
+
+
+def test_columns_in_the_way(spark):
+    docs = spark.createDataFrame([(1, "abc", "en", 2, 3)], "doc_id long, text string, lang string, text_ int, `Score` int")
+    model = langid.fit(docs)
+    assert langid.identify(docs, model, keep=("doc_id", "text", "text_")).first()[:4] == (1, "abc", 2, "en")
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(docs, none, keep=("text", "text_")).first()[:2] == ("abc", 2)
+    for call in (lambda: langid.identify(docs, model, keep=("Score",)), lambda: toxicity.score(docs, none, keep=("Score",))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_long_runs_are_read_whole(spark):
+    for n in (31, 32, 33, 56, 57, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(f"x {run} y")
+        assert pieces[0] == "x" and pieces[-1] == "y" and max(map(len, pieces)) <= 32
+        assert {run[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in pieces[1:-1] for i in range(len(p) - 4)}
+    rng = random.Random(1)
+    filler = lambda n: "".join(chr(0x4E00 + rng.randrange(12)) for _ in range(n))
+    rows = [(i, filler(rng.randrange(80, 200)) + ("\u8111\u8222\u8333\u8444" if i % 2 else "") + filler(rng.randrange(80, 200))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert np.mean([got[i] == i % 2 for i in range(400, 500)]) > 0.9
+
+
 def test_long_texts_pool_over_all_passes(monkeypatch):
     rng = np.random.default_rng(0)
     tongue = langid.LanguageModel(["aa", "bb"], {"two": 0}, {}, np.log([[0.2, 0.8]]), 3)
