@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,19 @@ def dequantize_mu(index: Column, clip: float, mu: float, bits: int) -> Column:
     return mulaw_inverse((index + 0.5) * step, clip, mu)
 
 
+def gain_of(index: np.ndarray) -> np.ndarray:
+    """frame_gain() in numpy."""
+    z = np.minimum((index + 0.5) / (2**GAIN_BITS - 1), 1.0)
+    return GAIN_MAX * np.expm1(math.log1p(MU) * z) / MU / 2.0**13
+
+
+def quantized_gain(value: np.ndarray) -> np.ndarray:
+    """Index of the gain nearest from below to values of 1e-8 and more."""
+    z = np.log1p(MU * np.minimum(np.maximum(value, 1e-8) * 2.0**13 / GAIN_MAX, 1.0)) / math.log1p(MU)
+    top = 2**GAIN_BITS - 1
+    return np.clip(np.floor(z * top), 0, top).astype(int)
+
+
 def frame_gain(gain: Column) -> Column:
     """Gain of a frame that is one block."""
     return dequantize_mu(gain, GAIN_MAX, MU, GAIN_BITS) / 2.0**13

@@ -289,11 +289,10 @@ class Codec:
             lsp_codes += [h, first, *second]
             env = np.maximum(self.envelope("long", tries[h]), 1e-6)
             flat = spectra[c] / env - self.pitch(0, 0, shapes[c])
-            gains.append(_compress(max(math.sqrt((flat**2).mean()) / LEVEL, 1e-8) * 8192, GAIN_MAX, MU, GAIN_BITS))
+            (gain,), (own,) = vq.gain_and_bands(flat[None], widths, coefs, self.books["bark_long"] / 4096.0, LEVEL)
+            gains.append(int(gain))
             g = self.gain(gains[c])
-            energy = np.add.reduceat(flat**2, np.cumsum(widths) - widths) / widths
-            target = (np.sqrt(energy) / (g * LEVEL) - 1).reshape(-1, coefs).T
-            own = [int(vq.errors(t[None], self.books["bark_long"] / 4096.0).argmin()) for t in target]
+            own = own.tolist()
             bark += own
             band = self.band_envelope("long", self.bands("long", own), np.zeros(len(widths)), 0, g)
             rest[c] = np.where(np.abs(band) > 1e-8, flat / np.where(band == 0, 1, band), flat)
@@ -361,9 +360,9 @@ def _with_before(frames: DataFrame, column: str) -> DataFrame:
     return frames.join(before, (F.col("sig") == F.col("__s")) & (F.col("frame") == F.col("__f")), "left").select("sig", "frame", column, "before")
 
 
-def signal_blocks(signal: DataFrame, layout: Layout) -> DataFrame:
+def signal_blocks(signal: DataFrame, layout: Layout, lead: bool = True) -> DataFrame:
     """(sig, frame, x array of channels * 2n) of samples (sig, ch, i, x): the hop before and this one of each channel, mid
-    before side, with a silent hop before the signal and one after it. Samples of further channels are left out."""
+    before side, with a silent hop after the signal and, with lead, one before it. Samples of further channels are left out."""
     n, channels = layout.n, layout.channels
     hops = hop_arrays(signal.where(F.col("ch").between(0, channels - 1)).withColumn("sig", F.struct("sig", "ch")), n).select("sig.sig", "sig.ch", "frame", "x")
     silent = F.array_repeat(F.lit(0.0), n)
@@ -374,10 +373,12 @@ def signal_blocks(signal: DataFrame, layout: Layout) -> DataFrame:
         hops = hops.select("sig", "frame", mix(1).alias("x0"), mix(-1).alias("x1"))
     own = F.struct(*[f"x{c}" for c in range(channels)])
     none = F.lit(None).cast(hops.select(own.alias("s")).schema["s"].dataType)
-    # frame 0 is silence before the first hop; a hop is the second half of one frame and the first of the next
-    rows = hops.select("sig", (F.col("frame") + 1).alias("frame"), own.alias("b"), none.alias("a"))
-    rows = rows.union(hops.select("sig", (F.col("frame") + 2).alias("frame"), none, own))
-    rows = rows.union(hops.groupBy("sig").agg(F.lit(0).cast("long").alias("frame")).select("sig", "frame", none, none))
+    # a hop is the second half of one frame and the first of the next; with lead, frame 0 is silence
+    first = int(lead)
+    rows = hops.select("sig", (F.col("frame") + first).alias("frame"), own.alias("b"), none.alias("a"))
+    rows = rows.union(hops.select("sig", (F.col("frame") + first + 1).alias("frame"), none, own))
+    if lead:
+        rows = rows.union(hops.select("sig").distinct().select("sig", F.lit(0).cast("long"), none, none))
     both = rows.groupBy("sig", "frame").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     halves = [F.coalesce(F.col(half)[f"x{c}"], silent) for c in range(channels) for half in ("a", "b")]
     return both.select("sig", "frame", F.concat(*halves).alias("x"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import companding
+
 #: Values that a codebook may hold: it is shipped to every worker.
 MOST_VALUES = 4_000_000
 
@@ -154,6 +156,51 @@ def split_codes(df: DataFrame, book: tuple[np.ndarray, np.ndarray], ends: list[i
     return _mapped(df, vector, keep, "segment int, code long, err double", kernel, len(codes))
 
 
+def residual_codes(df: DataFrame, first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], ends: list[int], keep: list[str], vector: str = "v") -> DataFrame:
+    """keep, code, second array<long>: the nearest code of the first book, and for each segment of what it leaves the nearest
+    code of the second book's segment."""
+
+    def kernel(x: np.ndarray) -> tuple[np.ndarray, dict]:
+        at = closest(x, first[1])[0][:, 0]
+        rest = x - first[1][at]
+        parts = [second[0][closest(rest[:, lo:hi], second[1][:, lo:hi])[0][:, 0]] for lo, hi in zip([0, *ends], ends, strict=False)]
+        return np.arange(len(x)), {"code": first[0][at], "second": list(np.stack(parts, 1))}
+
+    return _mapped(df, vector, keep, "code long, second array<long>", kernel, max(len(first[0]), len(second[0])))
+
+
+def gain_and_bands(x: np.ndarray, widths: np.ndarray, coefs: int, book: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """(gain indices, codes of each row's coefs vectors): a row's gain by its root mean square against level, and the band
+    envelope over that gain, whose bands j, j + coefs and so on are the vector j, searched in book."""
+    starts = np.cumsum(widths) - widths
+    gain = companding.quantized_gain(np.sqrt((x**2).mean(1)) / level)
+    energy = np.add.reduceat(x**2, starts, axis=1) / widths
+    target = np.sqrt(energy) / (companding.gain_of(gain)[:, None] * level) - 1
+    vectors = target.reshape(len(x), -1, coefs).transpose(0, 2, 1).reshape(len(x) * coefs, -1)
+    return gain, closest(vectors, book)[0][:, 0].reshape(len(x), coefs)
+
+
+def quantize_gain_bands(df: DataFrame, widths: list[int], coefs: int, book: tuple[np.ndarray, np.ndarray], level: float, keep: list[str], vector: str = "v") -> DataFrame:
+    """keep, gain, codes array<long>: gain_and_bands() of each vector, of sum(widths) values."""
+
+    def kernel(x: np.ndarray) -> tuple[np.ndarray, dict]:
+        gain, codes = gain_and_bands(x, np.array(widths), coefs, book[1], level)
+        return np.arange(len(x)), {"gain": gain.astype(np.int32), "codes": list(book[0][codes])}
+
+    return _mapped(df, vector, keep, "gain int, codes array<long>", kernel, coefs * len(book[0]))
+
+
+def residual(x: Column, band: Column) -> Column:
+    """What is left to quantize of an array of values under its band values: the quotient, the value where a band is next to
+    nothing."""
+    return F.zip_with(x, band, lambda a, b: F.when(F.abs(b) > 1e-8, a / b).otherwise(a))
+
+
+def place_weights(envelope: Column, band: Column) -> Column:
+    """Weight of each place in the search: the square of envelope times band value."""
+    return F.zip_with(envelope, band, lambda a, b: a * b * a * b)
+
+
 def gain_fit(x: Column, y: Column, weight: Column | None = None) -> Column:
     """Least-squares factor of y towards x, both arrays, weighted by place (by 1 by default), at least 0; 1 where y is next
     to nothing."""

@@ -14,7 +14,7 @@ from ..sources import host, wav
 from ..sources.signals import from_events, generated, stereo_from_events
 from .registry import query, rounded, table
 from .signal_queries import _SIG, _STEREO
-from .vector_queries import _V, _vectors
+from .vector_queries import _V, _book, _vectors
 
 #: The layout of the records: 8 kHz, 8 kbit/s, one channel.
 LAYOUT = codec.Layout(8, 8, 1)
@@ -230,3 +230,50 @@ def host_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = F.create_map(F.lit("title"), F.array("text", "lang"), F.lit("artist"), F.array("source"), F.lit("genre"), none, F.lit("date"), F.array(date, F.lit("x")))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), lists.alias("m"))
     return rows.select("file", *host.first_values(F.col("m")))
+
+
+_WIDTHS_LIST, _COEFS, _LEVEL = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10), 2, 6000.0
+_BAND_ROWS = ", ".join(f"({i}, {w}, {sum(_WIDTHS_LIST[:i])})" for i, w in enumerate(_WIDTHS_LIST))
+
+
+@query(_V + f""", b AS (SELECT * FROM (VALUES {_BAND_ROWS}) t(band, width, start)),
+g AS (SELECT vec_id, e, least(greatest(floor(ln(1 + 100 * least(greatest(sqrt(list_sum(list_transform(e[1:55], lambda u: u * u * 4e8)) / 55) / {_LEVEL}, 1e-8) * 8192 / 13000, 1.0)) / ln(101) * 255), 0), 255)::INTEGER AS gain FROM v),
+t AS (SELECT vec_id, band, gain, sqrt(list_sum(list_transform(e[start + 1:start + width], lambda u: u * u * 4e8)) / width) / (13000 * (exp(ln(101) * least((gain + 0.5) / 255, 1.0)) - 1) / 100 / 8192 * {_LEVEL}) - 1 AS target FROM g, b),
+d AS (SELECT t.vec_id, t.gain, band % {_COEFS} AS coef, c.vec_id AS code, sum(power(target - c.e[band // {_COEFS} + 1] * 4, 2)) AS err FROM t JOIN v c ON c.vec_id < 32 GROUP BY ALL)
+SELECT vec_id, gain, coef::INTEGER AS coef, code FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, coef ORDER BY err, code) AS r FROM d) WHERE r = 1""")
+def gain_and_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain and band codes of spectra, here vectors of 55 places in ten bands, against 32 codes of five."""
+    v = _vectors(spark, sf_dir)
+    spectra = v.select("vec_id", F.transform(F.slice("v", 1, sum(_WIDTHS_LIST)), lambda u: u * 20_000).alias("v"))
+    codes, book = _book(v, 0, 32, len(_WIDTHS_LIST) // _COEFS)
+    rows = vq.quantize_gain_bands(spectra, list(_WIDTHS_LIST), _COEFS, (codes, book * 4), _LEVEL, ["vec_id"])
+    return rows.select("vec_id", "gain", F.posexplode("codes").alias("coef", "code"))
+
+
+_LSP_ENDS = vq.split_ends(12, 3)
+_SEGMENTS = ", ".join(f"({k}, {lo}, {hi})" for k, (lo, hi) in enumerate(zip([0, *_LSP_ENDS], _LSP_ENDS, strict=False)))
+
+
+@query(_V + f""", one AS (SELECT vec_id, x, code, ce FROM (SELECT a.vec_id, a.e AS x, c.vec_id AS code, c.e AS ce, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(range(1, 13), lambda j: power(a.e[j] - c.e[j], 2))), c.vec_id) AS r FROM v a JOIN v c ON c.vec_id < 16) WHERE r = 1),
+s AS (SELECT * FROM (VALUES {_SEGMENTS}) t(segment, lo, hi)),
+d AS (SELECT one.vec_id, one.code, segment, c.vec_id AS second, list_sum(list_transform(range(lo + 1, hi + 1), lambda j: power(x[j] - ce[j] - c.e[j], 2))) AS err FROM one, s JOIN v c ON c.vec_id >= 16 AND c.vec_id < 32)
+SELECT vec_id, code, segment::INTEGER AS segment, second FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, segment ORDER BY err, second) AS r FROM d) WHERE r = 1""")
+def lsp_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest code of a first book, and for each segment of the rest the nearest of a second."""
+    v = _vectors(spark, sf_dir)
+    short = v.select("vec_id", F.slice("v", 1, 12).alias("v"))
+    rows = vq.residual_codes(short, _book(v, 0, 16, 12), _book(v, 16, 32, 12), _LSP_ENDS, ["vec_id"])
+    return rows.select("vec_id", "code", F.posexplode("second").alias("segment", "second"))
+
+
+@query(_V + """SELECT vec_id, (j - 1)::INTEGER AS bin, round(CASE WHEN abs(e[j + 32] * (j % 4)) > 1e-8 THEN e[j] / nullif(e[j + 32] * (j % 4), 0) ELSE e[j] END, 6) + 0.0 AS rest,
+round((1 + abs(e[j])) * e[j + 32] * (j % 4) * (1 + abs(e[j])) * e[j + 32] * (j % 4), 6) + 0.0 AS weight FROM v, (SELECT unnest(range(1, 33)) AS j)""")
+def residual_and_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the first half of a vector under bands made from the other, and the weights of its places."""
+    v = _vectors(spark, sf_dir)
+    x = F.slice("v", 1, 32)
+    band = F.transform(F.slice("v", 33, 32), lambda u, i: u * ((i + 1) % 4))
+    envelope = F.transform(x, lambda u: 1 + F.abs(u))
+    both = F.arrays_zip(vq.residual(x, band).alias("rest"), vq.place_weights(envelope, band).alias("weight"))
+    rows = v.select("vec_id", F.posexplode(both).alias("bin", "b")).select("vec_id", "bin", "b.rest", "b.weight")
+    return rows.select("vec_id", "bin", rounded("rest"), rounded("weight"))
