@@ -13,7 +13,7 @@ from ..operators import codec, framing, lpc, metrics, transform, vq
 from ..sources import host, wav
 from ..sources.signals import from_events, generated, stereo_from_events
 from .registry import query, rounded, table
-from .signal_queries import _SIG, _STEREO
+from .signal_queries import _BLOCKS, _SIG, _STEREO, line_spectra_sql
 from .vector_queries import _V, _book, _vectors
 
 #: The layout of the records: 8 kHz, 8 kbit/s, one channel.
@@ -170,7 +170,7 @@ def trimmed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LPC_BLOCKS = 8
 
 
-@query()
+@query(line_spectra_sql(_BLOCKS + ", f AS (SELECT * FROM tapered), ", _LPC_BLOCKS))
 def analysed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line spectral frequencies of overlapping windowed blocks."""
     blocks = framing.overlapped(framing.hop_arrays(from_events(table(spark, sf_dir, "events")), N), N)

@@ -9,6 +9,7 @@ from ..functions import companding
 from ..operators import framing, lpc, metrics, transform
 from ..sources.signals import from_events, stereo_from_events
 from .registry import query, rounded, table
+from .vector_queries import _spread_sql as spread_sql
 
 N, ORDER, FRAME_BITS = 32, 4, 371
 
@@ -110,28 +111,59 @@ def spectrum_band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("sig", band).agg(F.sum(F.col("x") * F.col("x")).alias("energy"), F.count("*").alias("n")).select("sig", "band", rounded("energy"), "n")
 
 
-_LAGS = _SIG + """, f AS (SELECT sig, i // 32 AS frame, (i % 32)::INTEGER AS p, x FROM sig), ks AS (SELECT unnest(range(9))::INTEGER AS lag),
-fr AS (SELECT DISTINCT sig, frame FROM f),
+def _lags_sql(order: int) -> str:
+    """From f(sig, frame, p, x), the samples of frames: r(sig, frame, lag, r)."""
+    return f"""ks AS (SELECT unnest(range({order + 1}))::INTEGER AS lag), fr AS (SELECT DISTINCT sig, frame FROM f),
 ac AS (SELECT fr.sig, fr.frame, ks.lag, coalesce(sum(a.x * b.x), 0) AS r FROM fr, ks LEFT JOIN f a ON a.sig = fr.sig AND a.frame = fr.frame
   LEFT JOIN f b ON b.sig = a.sig AND b.frame = a.frame AND b.p = a.p + ks.lag GROUP BY fr.sig, fr.frame, ks.lag),
 r AS (SELECT sig, frame, lag, CASE WHEN lag = 0 THEN greatest(r * 1.0001, 1e-8) ELSE r END AS r FROM ac)"""
 
 
-@query(_LAGS + "SELECT sig, frame, lag, round(r, 8) + 0.0 AS r FROM r")
-def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lpc.lags(framing.hop_arrays(_signal(spark, sf_dir), N), N, 8)
-    return rows.select("sig", "frame", F.posexplode("x").alias("lag", "r")).select("sig", "frame", "lag", rounded("r", 8))
+_FRAMED = _SIG + ", f AS (SELECT sig, i // 32 AS frame, (i % 32)::INTEGER AS p, x FROM sig), "
 
 
-def _levinson_sql(order: int) -> str:
+def _recursion_sql(order: int) -> str:
+    """From r(sig, frame, lag, r): l{order} with the coefficients a{order}_1 and so on."""
     steps = [f"l0 AS (SELECT sig, frame, {', '.join(f'max(r) FILTER (lag = {k}) AS r{k}' for k in range(order + 1))}, max(r) FILTER (lag = 0) AS err FROM r GROUP BY sig, frame)"]
     for i in range(1, order + 1):
         acc = " + ".join([f"r{i}", *(f"a{i - 1}_{j} * r{i - j}" for j in range(1, i))])
         steps.append(f"k{i} AS (SELECT *, greatest(-0.999, least(0.999, CASE WHEN err > 1e-12 THEN -({acc}) / err ELSE 0 END)) AS k FROM l{i - 1})")
         new = [f"a{i - 1}_{j} + k * a{i - 1}_{i - j} AS a{i}_{j}" for j in range(1, i)] + [f"k AS a{i}_{i}"]
         steps.append(f"l{i} AS (SELECT sig, frame, {', '.join(f'r{x}' for x in range(order + 1))}, greatest(1e-12, err * (1 - k * k)) AS err, {', '.join(new)} FROM k{i})")
+    return ", ".join(steps)
+
+
+def _levinson_sql(order: int) -> str:
     columns = ", ".join(f"round(a{order}_{j}, 6) + 0.0 AS a{j}" for j in range(1, order + 1))
-    return _LAGS + ", " + ", ".join(steps) + f" SELECT sig, frame, {columns} FROM l{order}"
+    return f"{_FRAMED}{_lags_sql(order)}, {_recursion_sql(order)} SELECT sig, frame, {columns} FROM l{order}"
+
+
+def line_spectra_sql(frames: str, order: int) -> str:
+    """Line spectral frequencies of the frames that frames gives as f, found by sign changes on a grid and bisection."""
+    a = ["1", *(f"a{order}_{j}" for j in range(1, order + 1)), "0"]
+    n, half = order + 1, order // 2
+    whole = lambda k: " + ".join(f"{'' if (k - j) % 2 == 0 else '-'}1 * ({a[j]} + {a[n - j]})" for j in range(k + 1))
+    diff = lambda k: " + ".join(f"({a[j]} - {a[n - j]})" for j in range(k + 1))
+    series = lambda f: "[" + ", ".join(f(half + m) for m in range(half + 1)) + "]"
+    value = lambda w: "s[1]" + "".join(f" + 2 * s[{m + 1}] * cos({m} * {w})" for m in range(1, half + 1))
+    even = "[" + ", ".join(f"pi() * {j} / {n}" for j in range(1, order + 1)) + "]"
+    grid = 4096
+    with_ = frames.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{with_}{_lags_sql(order)}, {_recursion_sql(order)},
+pq AS (SELECT sig, frame, 0 AS kind, {series(whole)} AS s FROM l{order} UNION ALL SELECT sig, frame, 1, {series(diff)} FROM l{order}),
+g AS (SELECT sig, frame, kind, s, j, {value(f'(j * pi() / {grid})')} AS y FROM pq, range({grid + 1}) t(j)),
+br AS (SELECT * FROM (SELECT *, lead(y) OVER (PARTITION BY sig, frame, kind ORDER BY j) AS y2 FROM g) WHERE sign(y) <> sign(y2)),
+bis(sig, frame, s, lo, hi, up, n) AS (SELECT sig, frame, s, j * pi() / {grid}, (j + 1) * pi() / {grid}, y2 > y, 0 FROM br
+  UNION ALL SELECT sig, frame, s, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, up, n + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, ({value('((lo + hi) / 2)')} < 0) = up AS low FROM bis WHERE n < 45)),
+roots AS (SELECT sig, frame, list(lo ORDER BY lo) AS l FROM bis WHERE n = 45 GROUP BY sig, frame),
+found AS (SELECT l{order}.sig, l{order}.frame, CASE WHEN len(l) = {order} THEN l ELSE {even} END AS l FROM l{order} LEFT JOIN roots USING (sig, frame)),
+{spread_sql(0.001, 'found', 'spread', order, 'sig, frame')} SELECT sig, frame, j::INTEGER AS j, round(list_sort(l)[j + 1], 6) + 0.0 AS lsp FROM spread, range({order}) t(j)"""
+
+
+@query(_FRAMED + _lags_sql(8) + " SELECT sig, frame, lag, round(r, 8) + 0.0 AS r FROM r")
+def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lpc.lags(framing.hop_arrays(_signal(spark, sf_dir), N), N, 8)
+    return rows.select("sig", "frame", F.posexplode("x").alias("lag", "r")).select("sig", "frame", "lag", rounded("r", 8))
 
 
 @query(_levinson_sql(ORDER))
@@ -140,13 +172,23 @@ def levinson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sig", "frame", *[(F.round(F.col("x")[j], 6) + F.lit(0.0)).alias(f"a{j}") for j in range(1, ORDER + 1)])
 
 
-@query()
+@query(line_spectra_sql(_FRAMED, 8))
 def line_spectral_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lpc.line_spectra(lpc.predictors(lpc.lags(framing.hop_arrays(_signal(spark, sf_dir), N), N, 8), 8), 8)
     return rows.select("sig", "frame", F.posexplode("x").alias("j", "lsp")).select("sig", "frame", "j", rounded("lsp"))
 
 
-@query()
+_ENVELOPE = line_spectra_sql(_FRAMED, 8).rpartition(" SELECT sig, frame, j::INTEGER")[0] + """,
+e AS (SELECT sig, frame, list_sort(l) AS l, bin, cos((2 * bin + 1) * pi() / 128) AS c FROM spread, range(64) t(bin)),
+ev AS (SELECT sig, frame, bin, 0.5 / (power(0.5 * list_product(list_transform([2, 4, 6, 8], lambda j: 2 * cos(l[j]) - 2 * c)), 2) * (2 - 2 * c) + power(0.5 * list_product(list_transform([1, 3, 5, 7], lambda j: 2 * cos(l[j]) - 2 * c)), 2) * (2 + 2 * c)) AS v FROM e),
+node AS (SELECT *, CASE WHEN bin < 32 THEN 0 ELSE 1 END AS part, CASE WHEN bin < 32 THEN 4 ELSE 8 END AS step FROM ev WHERE bin < 32 AND bin % 4 = 0 OR bin >= 32 AND bin % 8 = 0),
+near AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM node WINDOW w AS (PARTITION BY sig, frame, part ORDER BY bin)),
+knot AS (SELECT sig, frame, bin FROM node UNION SELECT sig, frame, bin - step // 2 FROM near WHERE before IS NOT NULL AND after IS NOT NULL AND NOT (after + before > 1.95 * v OR after >= before)),
+kv AS (SELECT knot.sig, knot.frame, knot.bin, v, lead(knot.bin) OVER (PARTITION BY knot.sig, knot.frame ORDER BY knot.bin) AS bin2, lead(v) OVER (PARTITION BY knot.sig, knot.frame ORDER BY knot.bin) AS v2 FROM knot JOIN ev ON ev.sig = knot.sig AND ev.frame = knot.frame AND ev.bin = knot.bin)
+SELECT sig, frame, b::INTEGER AS bin, round(v + coalesce((v2 - v) * (b - bin) / (bin2 - bin), 0), 6) + 0.0 AS envelope FROM kv, range(64) t(b) WHERE b >= bin AND b < coalesce(bin2, 64)"""
+
+
+@query(_ENVELOPE)
 def spectral_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 

@@ -130,15 +130,15 @@ def _raw(e: str) -> str:
     return f"list_transform(range({ORDER}), lambda j: (j + 1) * pi() / {ORDER + 1} + 0.8 * {e}[j + 1])"
 
 
-def _spread_sql(least: float, source: str = "raw", name: str = "spread") -> str:
-    """From source(vec_id, l): one column for each place, as the pass goes up; then the finished list, in name."""
-    steps = [f"{name}0 AS (SELECT vec_id, {', '.join(f'l[{j + 1}] AS l{j}' for j in range(ORDER))}, l[1] AS u FROM {source})"]
-    for i in range(1, ORDER):
+def _spread_sql(least: float, source: str = "raw", name: str = "spread", order: int = ORDER, key: str = "vec_id") -> str:
+    """From source(key, l): one column for each place, as the pass goes up; then the finished list, in name."""
+    steps = [f"{name}0 AS (SELECT {key}, {', '.join(f'l[{j + 1}] AS l{j}' for j in range(order))}, l[1] AS u FROM {source})"]
+    for i in range(1, order):
         done = "".join(f"o{j}, " for j in range(i - 1))
-        rest = "".join(f", l{j}" for j in range(i + 1, ORDER))
+        rest = "".join(f", l{j}" for j in range(i + 1, order))
         near = f"l{i} - u < {least}"
-        steps.append(f"{name}{i} AS (SELECT vec_id, {done}CASE WHEN {near} THEN (u + l{i}) / 2 - {least / 2} ELSE u END AS o{i - 1}, CASE WHEN {near} THEN (u + l{i}) / 2 + {least / 2} ELSE l{i} END AS u{rest} FROM {name}{i - 1})")
-    return ", ".join(steps) + f", {name} AS (SELECT vec_id, [{', '.join(f'o{j}' for j in range(ORDER - 1))}, u] AS l FROM {name}{ORDER - 1})"
+        steps.append(f"{name}{i} AS (SELECT {key}, {done}CASE WHEN {near} THEN (u + l{i}) / 2 - {least / 2} ELSE u END AS o{i - 1}, CASE WHEN {near} THEN (u + l{i}) / 2 + {least / 2} ELSE l{i} END AS u{rest} FROM {name}{i - 1})")
+    return ", ".join(steps) + f", {name} AS (SELECT {key}, [{', '.join(f'o{j}' for j in range(order - 1))}, u] AS l FROM {name}{order - 1})"
 
 
 _SPREAD = _V + f", raw AS (SELECT vec_id, {_raw('e')} AS l FROM v), " + _spread_sql(0.05)

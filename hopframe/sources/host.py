@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.modes import MODES, rate_class
@@ -49,3 +49,18 @@ def same_tags(left: DataFrame, right: DataFrame, key: str = "file") -> DataFrame
     for t in tags:
         same = same & F.col(t).eqNullSafe(F.col(f"__{t}"))
     return left.join(other, F.col(key) == F.col("__k")).select(key, same.alias("same"))
+
+
+def progress(spark: SparkSession, group: str) -> tuple[int, int]:
+    """(tasks done, tasks known) of the jobs that were started under a job group, while they run; what the session no longer
+    keeps counts as nothing."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(s) for s in {s for j in jobs if j is not None for s in j.stageIds}]
+    known = [s for s in stages if s is not None]
+    return sum(s.numCompletedTasks for s in known), sum(s.numTasks for s in known)
+
+
+def abort(spark: SparkSession, group: str) -> None:
+    """Cancel the jobs of a job group; what they have not written yet is not written."""
+    spark.sparkContext.cancelJobGroup(group)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from hopframe.functions import bits, companding
 from hopframe.operators import framing, lpc, metrics, transform, vq
 from hopframe.plans import modes
-from hopframe.sources import container, signals, wav
+from hopframe.sources import container, host, signals, wav
 from hopframe.streaming import frames as streaming
 
 
@@ -200,6 +200,35 @@ def test_closest_codes_are_those_of_all_errors():
             assert (at == want).all() and np.allclose(err, np.take_along_axis(e, want, 1), rtol=1e-12, atol=0)
 
 
+def test_jobs_tell_their_progress_and_can_be_aborted(spark, tmp_path):
+    import threading
+    import time
+
+    failed = []
+
+    def busy(batches):
+        for batch in batches:
+            time.sleep(0.3)
+            yield batch
+
+    def slow():
+        spark.sparkContext.setJobGroup("slow", "", interruptOnCancel=True)
+        try:
+            spark.range(0, 400, 1, 40).mapInArrow(busy, "id long").write.parquet(str(tmp_path / "out"))
+        except Exception as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    while host.progress(spark, "slow")[0] < 2 and thread.is_alive():
+        time.sleep(0.1)
+    done, known = host.progress(spark, "slow")
+    host.abort(spark, "slow")
+    thread.join(60)
+    assert 2 <= done < known == 40 and failed and not (tmp_path / "out/_SUCCESS").exists()
+    assert host.progress(spark, "none") == (0, 0)
+
+
 def test_split_ends():
     assert [vq.split_ends(*x) for x in ((12, 3), (16, 3), (16, 4), (20, 4))] == [[3, 8, 12], [4, 11, 16], [3, 7, 11, 16], [4, 9, 14, 20]]
 
