@@ -22,9 +22,9 @@ from .pivots import mixed, nearest_points, usable
 BLOCK_BYTES, QUERY_BLOCK = 16 << 20, 8192
 #: Cells at most; with more vectors cells have more blocks.
 MOST_CELLS = 4096
-#: The sample that sets how many cells a query visits: its vectors, its queries, and the share of their neighbours that the
-#: cells may miss.
-SAMPLE, SAMPLE_QUERIES, MISSED = 8192, 512, 0.01
+#: The sample that sets how many cells a query visits: its vectors (long ones are fewer) and their values, its queries, and
+#: the share of their neighbours that the cells may miss.
+SAMPLE, SAMPLE_VALUES, SAMPLE_QUERIES, MISSED = 8192, 1 << 21, 512, 0.01
 
 
 class PermutationIndex:
@@ -90,8 +90,9 @@ def _cells(src: DataFrame, counts: dict[int, int], k: int) -> Cells:
     for dim, n in sorted(many.items()):
         if n < 2:
             continue
-        rows = src.where(F.size("v") == dim).select(F.xxhash64("vec_id", F.lit(3)).alias("h"), "vec_id", "v").orderBy("h", "vec_id", "v").limit(SAMPLE).collect()
-        x = np.unique(np.array([r["v"] for r in rows]), axis=0)
+        most = min(SAMPLE, max(2 * SAMPLE_QUERIES, SAMPLE_VALUES // dim))
+        rows = src.where(F.size("v") == dim).select(F.xxhash64("vec_id", F.lit(3)).alias("h"), "vec_id", "v").orderBy("h", "vec_id", "v").limit(most).select("v").toArrow()
+        x = np.unique(rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim), axis=0)
         x = np.random.default_rng(3).permutation(x)
         pivots = x[:n]
         own = nearest_points(x, pivots, 1)[:, 0]
