@@ -22,8 +22,8 @@ from ._runtime import materialize
 #: Documents of a block, and blocks of one source: a source with more documents has larger blocks, so that the order of its
 #: blocks fits one task.
 BLOCK_DOCS, SOURCE_BLOCKS = 256, 65_536
-#: Words of a shard, and shards at least.
-SHARD_WORDS, LEAST_SHARDS = 1 << 24, 32
+#: Words of a shard, some 13 MB, and shards at least and at most: beyond 137 billion words shards grow.
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 21, 32, 65_536
 #: Groups of sources, and numbers that the driver's part of the tree may have.
 GROUPS, TREE_SIZE = 1024, 1 << 20
 #: Rows of a plan that are broadcast; a larger one is joined by a shuffle.
@@ -155,7 +155,7 @@ def plan_mix(slim: DataFrame, weights: tuple[float, ...], total_share: float, mo
     sources = sources.withColumn("n_blocks", F.ceil(F.col("docs") / per_block).cast("long")).withColumn("whole", whole)
     sources = materialize(sources.withColumn("rest", F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))), "mix-sources")
     total = sources.agg(F.sum("target")).first()[0] or 0.0
-    n_shards = n_shards or max(LEAST_SHARDS, int(-(-total // SHARD_WORDS)))
+    n_shards = n_shards or min(MOST_SHARDS, max(LEAST_SHARDS, int(-(-total // SHARD_WORDS))))
     known = _lookup(sources)
     tagged = slim.join(known.select("s", "source", "n_blocks"), slim["s"].eqNullSafe(known["s"])).select("source", F.pmod("key", "n_blocks").alias("block"), "key", "size")
     blocks = tagged.groupBy("source", "block").agg(F.sum("size").alias("n")).join(known.select("source", "whole", "rest"), "source")
