@@ -27,8 +27,9 @@ def trimmed(pairs: DataFrame, keys: list[str], skip: int, i: str = "i") -> DataF
     return rows.where(F.col(i) <= F.col("__end") - skip).drop("__end", *[f"__{k}" for k in keys])
 
 
-def lag_correlation(x: DataFrame, y: DataFrame, lags: list[int], block: int = 4096) -> DataFrame:
-    """(sig, lag, correlation) of x[i] and y[i + lag], for each of a bounded list of lags, over the places that both have.
+def lag_correlation(x: DataFrame, y: DataFrame, lags: list[int], block: int = 4096, stride: int = 1, least: int = 1) -> DataFrame:
+    """(sig, lag, correlation) of x[i] and y[i + lag], for each of a bounded list of lags, over the places that both have,
+    of every stride-th i; lags with fewer than least such places give no row.
 
     Each block of x meets the samples of y that its lags reach, so that a sample is sent once or twice whatever the lags;
     sums of the blocks are added. Of repeated samples the largest counts; null ones are missing.
@@ -36,7 +37,7 @@ def lag_correlation(x: DataFrame, y: DataFrame, lags: list[int], block: int = 40
     reach = max(abs(k) for k in lags)
     block = max(block, 2 * reach + 1)
     div = lambda a: F.floor(a / block).cast("long")
-    own = x.select("sig", div(F.col("i")).alias("b"), F.lit(False).alias("other"), "i", "x")
+    own = x.where(F.col("i") % stride == 0).select("sig", div(F.col("i")).alias("b"), F.lit(False).alias("other"), "i", "x")
     near = F.array_distinct(F.array(div(F.col("i") - reach), div(F.col("i") + reach)))
     other = y.select("sig", F.explode(near).alias("b"), F.lit(True).alias("other"), "i", "x")
 
@@ -53,13 +54,13 @@ def lag_correlation(x: DataFrame, y: DataFrame, lags: list[int], block: int = 40
             s = slice(reach + k, reach + k + block)
             out.append((int((there & met[s]).sum()), a @ b[s], (a * a) @ met[s], there @ (b[s] * b[s])))
         kept = [j for j, r in enumerate(out) if r[0]]
-        columns = [pa.array([out[j][c] for j in kept], pa.float64()) for c in (1, 2, 3)]
-        return pa.table({"sig": pa.array([group.column("sig")[0].as_py()] * len(kept), group.schema.field("sig").type), "lag": pa.array([lags[j] for j in kept], pa.int32()), "xy": columns[0], "xx": columns[1], "yy": columns[2]})
+        columns = [pa.array([out[j][c] for j in kept], pa.float64()) for c in (0, 1, 2, 3)]
+        return pa.table({"sig": pa.array([group.column("sig")[0].as_py()] * len(kept), group.schema.field("sig").type), "lag": pa.array([lags[j] for j in kept], pa.int32()), "n": columns[0], "xy": columns[1], "xx": columns[2], "yy": columns[3]})
 
     kind = x.schema["sig"].dataType.simpleString()
-    parts = own.union(other).where("x is not null").groupBy("sig", "b").applyInArrow(sums, f"sig {kind}, lag int, xy double, xx double, yy double")
-    sums_ = parts.groupBy("sig", "lag").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
-    return sums_.select("sig", "lag", F.when(F.col("xx") * F.col("yy") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"))
+    parts = own.union(other).where("x is not null").groupBy("sig", "b").applyInArrow(sums, f"sig {kind}, lag int, n double, xy double, xx double, yy double")
+    sums_ = parts.groupBy("sig", "lag").agg(F.sum("n").alias("n"), F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
+    return sums_.where(F.col("n") >= least).select("sig", "lag", F.when(F.col("xx") * F.col("yy") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"))
 
 
 def fft_lag(x: DataFrame, y: DataFrame, start: int = 8192, count: int = 65_536, most: int = 8192) -> DataFrame:
@@ -93,9 +94,9 @@ def report(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.select(*keys, F.to_json(F.struct(*[c for c in results.columns if c not in keys])).alias("report"))
 
 
-def best_lag(x: DataFrame, y: DataFrame, lags: list[int]) -> DataFrame:
+def best_lag(x: DataFrame, y: DataFrame, lags: list[int], stride: int = 1, least: int = 1) -> DataFrame:
     """(sig, lag, correlation): the lag of the largest absolute correlation, ties to the smaller lag; the sign is the
     polarity."""
-    c = lag_correlation(x, y, lags)
+    c = lag_correlation(x, y, lags, stride=stride, least=least)
     best = c.groupBy("sig").agg(F.max(F.struct(F.round(F.abs("correlation"), 12).alias("a"), (-F.col("lag")).alias("l"), F.col("correlation").alias("c"))).alias("b"))
     return best.select("sig", (-F.col("b.l")).cast("int").alias("lag"), F.col("b.c").alias("correlation"))

@@ -267,6 +267,11 @@ def test_lag_correlation_against_sums(spark):
         for k in lags:
             pairs = np.array([(v, y[i + k]) for i, v in x.items() if i + k in y])
             assert np.isclose(got[k], (pairs[:, 0] @ pairs[:, 1]) / np.sqrt((pairs[:, 0] ** 2).sum() * (pairs[:, 1] ** 2).sum()))
+    every = {r.lag for r in metrics.lag_correlation(frame(x), frame(y), [0, 398], stride=4, least=40).where("sig = 's'").collect()}
+    assert every == {0}
+    (fourth,) = metrics.lag_correlation(frame(x), frame(y), [2], stride=4).where("sig = 's'").collect()
+    pairs = np.array([(v, y[i + 2]) for i, v in x.items() if i + 2 in y and i % 4 == 0])
+    assert np.isclose(fourth.correlation, (pairs[:, 0] @ pairs[:, 1]) / np.sqrt((pairs[:, 0] ** 2).sum() * (pairs[:, 1] ** 2).sum()))
     shifted = frame({i + 7: -v for i, v in x.items()})
     (best,) = metrics.best_lag(frame(x), shifted, list(range(-10, 11))).where("sig = 's'").collect()
     assert best.lag == 7 and np.isclose(best.correlation, -1)
