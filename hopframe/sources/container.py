@@ -203,7 +203,8 @@ def header_fields(parsed: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataF
     modes = [f"{r} {m[1]}" for k, r, _ in RATES for m in MODES if m[0] == k]
     legal = F.concat_ws(" ", rate.cast("string"), F.call_function("div", be_int(F.col("comm"), 5, 4), F.greatest(channels, F.lit(1))).cast("string")).isin(*modes)
     error = F.coalesce("error", F.when(F.col("comm").isNull() | (F.octet_length("comm") < 12), F.lit("no COMM chunk")).when(~channels.between(1, 2), F.lit("channels")).when(rate.isNull(), F.lit("rate")).when(~legal, F.lit("mode")))
-    return out.select(*keep, channels.alias("channels"), be_int(F.col("comm"), 5, 4).alias("kbps"), rate.cast("long").alias("rate"), F.when(F.octet_length("dsiz") >= 4, be_int(F.col("dsiz"), 1, 4)).alias("data_size"), error.alias("error"))
+    fields = F.struct(channels.alias("channels"), be_int(F.col("comm"), 5, 4).alias("kbps"), rate.cast("long").alias("rate"), F.when(F.octet_length("dsiz") >= 4, be_int(F.col("dsiz"), 1, 4)).alias("data_size"), error.alias("error"))
+    return out.select(*keep, _once(fields).alias("h")).select(*keep, "h.*")
 
 
 def frame_slices(files: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
