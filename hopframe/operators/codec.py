@@ -20,7 +20,7 @@ from ..functions.bits import BitReader, BitWriter
 from ..functions.companding import GAIN_BITS, GAIN_MAX, MU, SUBGAIN_BITS, SUBGAIN_MAX
 from ..plans.modes import FRAME_TYPES, MODES, RATES
 from . import lpc, transform, vq
-from .framing import hop_arrays, previous, valid_after_priming
+from .framing import hop_arrays, previous, ranked
 
 #: Frame type of each window type; shares of the frame before in band envelopes, by frame type; the start
 #: value of band history; the level at which codebooks lie; the pitch gain's range and companding.
@@ -354,12 +354,6 @@ def _mapped(df: DataFrame, schema: str, kernel, keep: tuple[str, ...] = ("sig",
     return df.mapInArrow(run, f"{kept_types}, {schema}")
 
 
-def _with_before(frames: DataFrame, column: str) -> DataFrame:
-    """Each frame beside the one before it, null for the first."""
-    before = frames.select(F.col("sig").alias("__s"), (F.col("frame") + 1).alias("__f"), F.col(column).alias("before"))
-    return frames.join(before, (F.col("sig") == F.col("__s")) & (F.col("frame") == F.col("__f")), "left").select("sig", "frame", column, "before")
-
-
 def signal_blocks(signal: DataFrame, layout: Layout, lead: bool = True) -> DataFrame:
     """(sig, frame, x array of channels * 2n) of samples (sig, ch, i, x): the hop before and this one of each channel, mid
     before side, with a silent hop after the signal and, with lead, one before it. Samples of further channels are left out."""
@@ -385,10 +379,12 @@ def signal_blocks(signal: DataFrame, layout: Layout, lead: bool = True) -> DataF
 
 
 def encode_frames(blocks: DataFrame, codec: Codec) -> DataFrame:
-    """(sig, frame, codes array<int>) of blocks (sig, frame, x array of channels * 2n)."""
+    """(sig, frame, codes array<int>) of blocks (sig, frame, x array of channels * 2n), whose history is that of the frame
+    before."""
     shape = (codec.layout.channels, 2 * codec.layout.n)
     kernel = lambda x, before: codec.encode(np.reshape(x, shape), None if before is None else np.reshape(before, shape))
-    return _mapped(_with_before(blocks, "x"), "codes array<int>", kernel)
+    beside = previous(blocks.select("sig", "frame", "x"), ["sig"], "frame", ["x"]).select("sig", "frame", "x", F.col("before.x").alias("before"))
+    return _mapped(beside, "codes array<int>", kernel)
 
 
 def decode_frames(frames: DataFrame, codec: Codec) -> DataFrame:
@@ -404,11 +400,12 @@ def decode_frames(frames: DataFrame, codec: Codec) -> DataFrame:
 
 def decode_samples(frames: DataFrame, codec: Codec, priming: int = 2) -> DataFrame:
     """(sig, ch, i, x): the samples of codes (sig, frame, codes), left before right, without each signal's first priming
-    frames; they lead in."""
+    frames; they lead in. Samples are numbered by the frames that there are; one that cannot be joined has none."""
     lay = codec.layout
     subs = lay.form["medium"][0], lay.form["short"][0]
-    hops = transform.synthesised(decode_frames(frames, codec), lay.n, *subs, lay.channels)
-    return transform.channel_samples(valid_after_priming(hops, F.col("x").isNotNull(), skip=priming), lay.n, lay.channels)
+    numbered = ranked(frames.select("sig", "frame", "codes"), ["sig"], "frame", "hop").select("sig", F.col("hop").alias("frame"), "codes")
+    hops = transform.synthesised(decode_frames(numbered, codec), lay.n, *subs, lay.channels)
+    return transform.channel_samples(hops, lay.n, lay.channels, priming)
 
 
 def pack_frames(frames: DataFrame, layout: Layout) -> DataFrame:

@@ -87,20 +87,21 @@ def resample_linear(signal: DataFrame, up: int, down: int) -> DataFrame:
     return rows.select("sig", F.col("j").alias("i"), (F.col("x") + (F.coalesce("b", "x") - F.col("x")) * frac).alias("x"))
 
 
-def previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], span: int = 4096) -> DataFrame:
+def previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], span: int = 64) -> DataFrame:
     """rows with before: a struct of columns of the row before it, by the integer order, among rows of equal keys; null for
     the first.
 
     No key passes through one task: rows are ordered within spans of the order, and a span begins with a copy of the last
-    row of the span before, found among the spans' last rows. Rows of equal order are in any order.
+    row of the span before, found among the spans' last rows. Both read the rows as dealt out by span, once, so that what
+    makes them is not done again. Rows of equal order are in any order.
     """
-    tagged = rows.withColumn("__span", F.floor(F.col(order) / span).cast("long")).withColumn("__own", F.struct(*columns)).withColumn("__real", F.lit(True))
-    lasts = tagged.groupBy(*keys, "__span").agg(F.max_by("__own", order).alias("__own"))
+    tagged = rows.withColumn("__span", F.floor(F.col(order) / span).cast("long")).repartition(*keys, "__span")
+    lasts = tagged.groupBy(*keys, "__span").agg(F.max_by(F.struct(*rows.columns), order).alias("__row"))
     after = F.lead("__span").over(Window.partitionBy(*keys).orderBy("__span"))  # one row for each span
-    copies = lasts.withColumn("__span", after).where("__span is not null").withColumn("__real", F.lit(False))
+    copies = lasts.withColumn("__span", after).where("__span is not null").select("__row.*", "__span", F.lit(False).alias("__real"))
     place = Window.partitionBy(*keys, "__span").orderBy("__real", order)
-    both = tagged.unionByName(copies, allowMissingColumns=True).withColumn("before", F.lag("__own").over(place))
-    return both.where("__real").drop("__span", "__own", "__real")
+    both = tagged.withColumn("__real", F.lit(True)).unionByName(copies)
+    return both.withColumn("before", F.lag(F.struct(*columns)).over(place)).where("__real").drop("__span", "__real")
 
 
 def ranked(rows: DataFrame, keys: list[str], order: str, name: str = "rank", span: int = 4096) -> DataFrame:

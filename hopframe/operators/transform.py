@@ -200,9 +200,9 @@ def synthesised(spectra: DataFrame, n: int, sub_medium: int, sub_short: int, cha
     return beside.mapInArrow(run, f"sig {kind}, frame long, x array<double>")
 
 
-def channel_samples(hops: DataFrame, n: int, channels: int) -> DataFrame:
-    """(sig, ch, i, x) of hops of channels * n samples, numbered by the frames that there are."""
-    numbered = ranked(hops, ["sig"], "frame", "hop")
+def channel_samples(hops: DataFrame, n: int, channels: int, first: int | None = None) -> DataFrame:
+    """(sig, ch, i, x) of hops of channels * n samples, numbered by the frames that there are, or from the frame first on."""
+    numbered = ranked(hops, ["sig"], "frame", "hop") if first is None else hops.where(F.col("frame") >= first).withColumn("hop", F.col("frame") - first)
     rows = numbered.select("sig", "hop", F.posexplode("x").alias("p", "x"))
     div = F.call_function("div", F.col("p"), F.lit(n)).cast("int")
     return rows.select("sig", div.alias("ch"), (F.col("hop") * n + F.col("p") % n).alias("i"), "x").where(F.col("ch") < channels)
